@@ -120,6 +120,6 @@ def quality_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", held_out().alias("held_out"), "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    scores = rows.mapInPandas(scored, f"doc_id {kind}, held_out boolean, score double")
-    return scores.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas has no null in integers
+    scores = rows.mapInPandas(scored, "doc_id string, held_out boolean, score double")
+    return scores.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType)).withColumn("predicted", (F.col("score") >= CUT).cast("int"))

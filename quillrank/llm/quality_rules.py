@@ -71,7 +71,6 @@ def quality_rules(docs: DataFrame, trees: Trees, least: float = LEAST_PROBABILIT
             out["kept"] = ~out["base_failed"] & (out["probability"] >= least)
             yield out[["doc_id", *COUNTS, "base_failed", "kept", "probability"]]
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, kept boolean, probability double"
-    return rows.mapInPandas(judged, schema)
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    schema = "doc_id string, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, kept boolean, probability double"
+    return rows.mapInPandas(judged, schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
