@@ -49,3 +49,14 @@ def shared_path(spark: SparkSession, what: str) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows that go to a Python worker at a time, where the session leaves Spark's default of 10,000: whole texts are large.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker and the JVM hold of a table of texts. A setting of the session's own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
