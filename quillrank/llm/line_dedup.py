@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import BLANKS, ascii_lower, shuffle_partitions
+from quillrank.llm.common import BLANKS, ascii_lower, checkpointed, shuffle_partitions
 
 #: Code points that a line's key has at least, and documents that hold it.
 LEAST_CHARS, LEAST_DOCS = 20, 3
+#: A key is hot when it holds more lines than a range's share over this.
+HOT_SHARE = 8
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -27,12 +29,27 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(ascii_lower(text), "\n", -1).alias("lines"))
     keys = lines.select("doc_id", "text_hash", F.posexplode("lines").alias("pos", "line")).select("doc_id", "text_hash", "pos", F.btrim("line", F.lit(BLANKS)).alias("key"))
     keys = keys.where(F.char_length("key") >= least_chars).select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
-    dealt = keys.repartitionByRange(shuffle_partitions(docs.sparkSession), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", F.desc_nulls_last("doc_id"), "pos")
-    # the documents of a range are in order, so a document's first line with a key is where the document changes
-    seen = dealt.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_id"))
-    common = seen.where(F.col("n_docs") >= least_docs).select("h1", "h2", "last_id")
-    lost = dealt.join(common, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_id")))
-    return lost.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("zeros")).select("doc_id", "text_hash", _runs(F.col("zeros")).alias("lost"))
+    keys = checkpointed(keys)
+    ranges = shuffle_partitions(docs.sparkSession)
+    dealt = keys.repartitionByRange(ranges, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", F.desc_nulls_last("doc_id"), "pos")
+    # a range has a document's lines with a key together, so the first level counts each document once
+    seen = dealt.groupBy("h1", "h2", "doc_id").agg(F.first("pos").alias("pos")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_id"))
+    common = checkpointed(seen.where(F.col("n_docs") >= least_docs))
+    return _lost(keys, common, ranges).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("zeros")).select("doc_id", "text_hash", _runs(F.col("zeros")).alias("lost"))
+
+
+def _lost(keys: DataFrame, common: DataFrame, ranges: int) -> DataFrame:
+    """The lines of common keys outside the last document.
+
+    Keys that hold more than a share of all lines are joined by broadcast: there are at most ranges * HOT_SHARE, as
+    that many shares make up all lines. The rest is joined by key.
+    """
+    share = keys.count() // (ranges * HOT_SHARE)
+    stay = ~F.col("doc_id").eqNullSafe(F.col("last_id"))
+    hot, cold = common.where(F.col("n_docs") > share), common.where(F.col("n_docs") <= share)
+    of_hot = keys.join(F.broadcast(hot), ["h1", "h2"]).where(stay)
+    of_cold = keys.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(cold, ["h1", "h2"]).where(stay)
+    return of_hot.select("doc_id", "text_hash", "pos").unionByName(of_cold.select("doc_id", "text_hash", "pos"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
