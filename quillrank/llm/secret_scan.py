@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import checkpointed
+from quillrank.llm.common import checkpointed, small_batches
 
 
 @dataclass(frozen=True)
@@ -64,6 +64,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     counts as empty. Repeated rows and null ids stay; other columns are ignored; an empty table gives empty results.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     addressed = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("blob"), text.alias("text"))
     wanted = [r.key for r in rules]
