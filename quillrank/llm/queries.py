@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm import packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, url_filter
+from quillrank.llm import ngram_jaccard, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, url_filter
 from quillrank.llm.common import table
 from quillrank.llm.exact_dedup import exact_dedup
 from quillrank.llm.line_dedup import line_dedup
@@ -30,6 +30,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
@@ -48,4 +52,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_quality_classifier, op4_best_fit_packing, op5_sentencepiece, op7_url_filter, op8_quality_rules, op9_secret_scan, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_quality_classifier, op4_best_fit_packing, op5_sentencepiece, op6_ngram_jaccard, op7_url_filter, op8_quality_rules, op9_secret_scan, op10_line_dedup)}

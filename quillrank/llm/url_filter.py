@@ -1,69 +1,22 @@
 """URL rules by a blocked Bloom filter with an exact join behind it.
 
 Every rule is a canonical URL (host, path prefix). A page's possible rules are its host's suffixes with the prefixes of
-its path that have the length of some rule's path. The Bloom filter (blocks of 256 bits, one bit in each of a block's
-eight words) drops nearly all possibilities that are not listed; an exact equi-join with the list removes the filter's
+its path that have the length of some rule's path. The blocked Bloom filter drops nearly all possibilities that are not listed; an exact equi-join with the list removes the filter's
 false positives. The filter has a fixed largest size, so it can be broadcast whatever the list's length; a longer
 list only lets more false positives through to the join.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillrank.llm.bloom import build, probe
 from quillrank.llm.common import ascii_lower
 
-#: Bits for each rule, and the filter's largest size.
-BITS_PER_RULE, MOST_BYTES = 16, 1 << 25
-#: Odd multipliers that choose one bit in each word of a block, derived from a fixed seed.
-_SALTS = np.random.default_rng(7).integers(1, 1 << 31, 8, dtype=np.int64) * 2 + 1
 DEFAULT_VERDICT = "allow"
 
 
-def block_count(n_rules: int) -> int:
-    return int(np.clip(n_rules * BITS_PER_RULE // 256 + 1, 1, MOST_BYTES // 32))
-
-
-def _place(hashes: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each 64-bit hash: its block, and its eight bits as one mask for each word."""
-    h = hashes.view(np.uint64)
-    block = ((h >> np.uint64(32)) * np.uint64(n_blocks)) >> np.uint64(32)
-    low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    bit = (low[:, None] * _SALTS.astype(np.uint32)[None, :]) >> np.uint32(27)
-    return block.astype(np.int64), np.uint32(1) << bit
-
-
-def build(hashes: DataFrame, n_rules: int) -> np.ndarray:
-    """The filter of a one-column DataFrame of hashes, as words (n_blocks, 8); parts are combined by block."""
-    n_blocks = block_count(n_rules)
-
-    def parts(batches):
-        words = np.zeros((0, 8), np.uint32)
-        for batch in batches:
-            if not len(words):
-                words = np.zeros((n_blocks, 8), np.uint32)
-            block, masks = _place(batch.iloc[:, 0].to_numpy(), n_blocks)
-            np.bitwise_or.at(words, block, masks)
-        full = np.flatnonzero(words.any(axis=1))
-        yield pd.DataFrame({"block": full} | {f"w{i}": words[full, i].astype(np.int64) for i in range(8)})
-
-    schema = "block long, " + ", ".join(f"w{i} long" for i in range(8))
-    whole = hashes.mapInPandas(parts, schema).groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8)))
-    out = np.zeros((n_blocks, 8), np.uint32)
-    rows = whole.toPandas()  # at most MOST_BYTES / 32 rows
-    out[rows["block"].to_numpy()] = rows[[f"w{i}" for i in range(8)]].to_numpy(np.uint32)
-    return out
-
-
-def maybe_listed(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """False: certainly not listed."""
-    block, masks = _place(hashes, len(words))
-    return ((words[block] & masks) == masks).all(axis=1)
-
-
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty if the url is null or has no `://`."""
     at = F.locate("://", url)
@@ -82,13 +35,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     """
     rules = rules.select(ascii_lower(F.col("host")).alias("host"), "path", "verdict").groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
     sizes = rules.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.length("path")).alias("lengths")).first()
-    words = build(rules.select(F.xxhash64("host", "path").alias("hash")), sizes["n"])
-    shared = pages.sparkSession.sparkContext.broadcast(words)
-
-    @F.pandas_udf("boolean")
-    def maybe(hashes: pd.Series) -> pd.Series:
-        return pd.Series(maybe_listed(shared.value, hashes.to_numpy()))
-
+    maybe = probe(build(rules.select(F.xxhash64("host", "path").alias("hash")), sizes["n"]), pages.sparkSession)
     host, path = url_parts(F.coalesce(F.col(url_col), F.lit("")))
     own = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.", -1)
