@@ -29,7 +29,7 @@ from quillrank.llm.common import small_batches
 
 BLANK = "▁"
 #: Code points in one suffix array; cuts that a worker remembers; characters of text taken at a time.
-BLOCK, REMEMBERED, AT_A_TIME = 400_000, 300_000, 2_000_000
+BLOCK, REMEMBERED, AT_A_TIME = 400_000, 600_000, 5_000_000
 _CACHE_BITS = 20
 #: A code point that no text has: half of a surrogate pair.
 _SEPARATOR = 0xD800
@@ -57,7 +57,7 @@ class Codec:
         self.rank = np.empty(n, np.int64)  # 0 merges first
         self.rank[order] = np.arange(n)
         self._merges()
-        self.remembered: dict[str, tuple[int, ...]] = {}
+        self.remembered: dict[str, bytes] = {}
         self.cached_pair, self.cached_fit = np.full(1 << _CACHE_BITS, -1, np.int64), np.zeros(1 << _CACHE_BITS, bool)
 
     def _merges(self) -> None:
@@ -157,13 +157,13 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, as SentencePiece gives them."""
-        return self.encode_all([text])[0]
+        return self.encode_all([text])[0].tolist()
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         cuts = [cut(t) for t in texts]
         if len(self.remembered) > REMEMBERED:
             self.remembered.clear()
-        new = list({c for own in cuts for c in own if c not in self.remembered})
+        new = list(set(chain.from_iterable(cuts)).difference(self.remembered))
         at = 0
         while at < len(new):
             block, size = at, 0
@@ -171,50 +171,53 @@ class Codec:
                 size += len(new[at]) + 1
                 at += 1
             self.remembered.update(zip(new[block:at], self._encode_cuts(new[block:at]), strict=True))
-        return [list(chain.from_iterable(map(self.remembered.__getitem__, own))) for own in cuts]
-
-    def _encode_cuts(self, cuts: list[str]) -> list[tuple[int, ...]]:
-        direct = [i for i, c in enumerate(cuts) if BLANK * 2 in c]
-        out: list[tuple[int, ...]] = [()] * len(cuts)
-        for i in direct:
-            out[i] = self._spelled(self.merge(cuts[i])[0])
-        rest = [i for i, c in enumerate(cuts) if BLANK * 2 not in c]
-        if rest:
-            for i, ids in zip(rest, self._relaxed([cuts[i] for i in rest]), strict=True):
-                out[i] = self._spelled(ids)
+        return [np.frombuffer(b"".join(map(self.remembered.__getitem__, own)), np.int32) for own in cuts]
+
+    def _encode_cuts(self, cuts: list[str]) -> list[bytes]:
+        """The ids of each cut, as packed 32-bit numbers."""
+        out = [b""] * len(cuts)
+        rest = []
+        for i, c in enumerate(cuts):
+            if BLANK * 2 in c:
+                out[i] = self._spelled(self.merge(c)[0])
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, self._relaxed([cuts[i] for i in rest]) if rest else (), strict=True):
+            out[i] = ids
         return out
 
-    def _spelled(self, ids) -> tuple[int, ...]:
+    def _spelled(self, ids: list[int]) -> bytes:
         """Unknown characters as the pieces of their bytes."""
-        if all(i >= 0 for i in ids):
-            return tuple(ids)
-        return tuple(j for i in ids for j in ([i] if i >= 0 else [self.byte_ids[b] for b in chr(-1 - i).encode()]))
+        return np.array([j for i in ids for j in ([i] if i >= 0 else [self.byte_ids[b] for b in chr(-1 - i).encode()])], np.int32).tobytes()
 
-    def _relaxed(self, cuts: list[str]) -> list[list[int]]:
+    def _relaxed(self, cuts: list[str]) -> list[bytes]:
         text = np.frombuffer(chr(_SEPARATOR).join([*cuts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sizes = np.fromiter(map(len, cuts), np.int64, len(cuts))
-        ends = np.cumsum(sizes + 1)  # after each cut's separator
-        begin = ends - sizes - 1
+        begin = np.cumsum(sizes + 1) - sizes - 1  # each cut has its separator after it
         start, stop, piece = self._edges(text)
         offset = np.arange(len(text)) - np.repeat(begin, sizes + 1)
-        order = np.lexsort((start, offset[start] + stop - start))  # by where they end within their cut
+        where = offset[start] + stop - start  # where an edge ends within its cut
+        order = np.argsort(where.astype(np.uint16) if sizes.max() < 1 << 16 else where, kind="stable")
         start, stop, piece = start[order], stop[order], piece[order]
-        where = offset[start] + stop - start
-        bounds = np.searchsorted(where, np.arange(1, int(sizes.max()) + 2))
+        bounds = np.searchsorted(where[order], np.arange(1, int(sizes.max()) + 2))
         last = np.full(len(text) + 1, -1, np.int64)  # the piece that ends before a position; -1: none
         came = np.zeros(len(text) + 1, np.int64)
         for k in range(len(bounds) - 1):
             s, t, p = (x[bounds[k] : bounds[k + 1]] for x in (start, stop, piece))
             good = self.fits(np.where(offset[s] == 0, -1, last[s]), p)
             last[t[good]], came[t[good]] = p[good], s[good]
-        out = []
-        last_, came_ = last.tolist(), came.tolist()
-        for b, size in zip(begin.tolist(), sizes.tolist(), strict=True):
-            ids, at = [], b + size
-            while at > b:
-                ids.append(last_[at])
-                at = came_[at]
-            out.append(ids[::-1])
+        on_path, at = np.zeros(len(text) + 1, bool), begin + sizes
+        while len(at):  # all cuts at once, from their ends back
+            on_path[at] = True
+            at = came[at]
+            at = at[offset[at] > 0]
+        path = np.flatnonzero(on_path)
+        ids, first = last[path], np.searchsorted(path, begin + 1)
+        ends = np.append(first[1:], len(path)).tolist()
+        packed, first = ids.astype(np.int32).tobytes(), first.tolist()
+        out = [packed[4 * a : 4 * b] for a, b in zip(first, ends, strict=True)]
+        for i in np.unique(np.searchsorted(begin, path[ids < 0], "left") - 1).tolist():
+            out[i] = self._spelled(ids[first[i] : ends[i]].tolist())
         return out
 
     def _edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,20 +268,26 @@ class Codec:
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of what follows them, exact up to `depth` characters; prefix doubling."""
-    _, rank = np.unique(text, return_inverse=True)
-    rank, k = rank.astype(np.int64) + 1, 1
-    order = np.argsort(rank, kind="stable")
-    while k < depth and rank[order[-1]] < len(text):
-        after = np.zeros_like(rank)
-        after[:-k] = rank[k:]
-        key = rank * (len(text) + 1) + after
-        order = np.argsort(key, kind="stable")
+    """Positions in the order of what follows them, exact up to `depth` characters; prefix doubling.
+
+    The first keys hold as many characters as fit into 62 bits.
+    """
+    letters, rank = np.unique(text, return_inverse=True)
+    rank, bits = rank.astype(np.int64) + 1, int(len(letters) + 1).bit_length()
+    key, k = np.zeros(len(text), np.int64), max(1, min(depth, 62 // bits))
+    for d in range(k):
+        key <<= bits
+        key[: max(0, len(text) - d)] |= rank[d:]
+    while True:
+        order = np.argsort(key)
         sorted_ = key[order]
-        rank = np.empty_like(rank)
+        rank = np.empty_like(key)
         rank[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])]) + 1
-        k *= 2
-    return order
+        if k >= depth or rank[order[-1]] == len(text):
+            return order
+        after = np.zeros_like(rank)
+        after[:-k] = rank[k:]
+        key, k = rank * (len(text) + 1) + after, 2 * k
 
 
 _CUT = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
@@ -311,17 +320,23 @@ def encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(model_path)
+        ids, texts, size = [], [], 0
+
+        def done() -> pd.DataFrame:
+            coded_ = own.encode_all(texts)
+            back = [hashlib.sha256(own.decode(x.tolist()).encode()).hexdigest() for x in coded_]
+            return pd.DataFrame({"doc_id": ids, "n_ids": [len(x) for x in coded_], "ids": coded_, "decoded_sha256": back})
+
         for batch in batches:
-            texts, at = batch["text"].tolist(), 0
-            while at < len(texts):
-                first, size = at, 0
-                while at < len(texts) and (size == 0 or size + len(texts[at]) < AT_A_TIME):
-                    size += len(texts[at])
-                    at += 1
-                ids = own.encode_all(texts[first:at])
-                back = [hashlib.sha256(own.decode(x).encode()).hexdigest() for x in ids]
-                arrays = [np.array(x, np.int32) for x in ids]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[first:at].tolist(), "n_ids": [len(x) for x in ids], "ids": arrays, "decoded_sha256": back})
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text)
+                if size >= AT_A_TIME:
+                    yield done()
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield done()
 
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = rows.mapInPandas(coded, "doc_id string, n_ids long, ids array<int>, decoded_sha256 string")
