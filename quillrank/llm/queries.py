@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm import ngram_jaccard, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, url_filter
+from quillrank.llm import ngram_jaccard, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, url_filter
 from quillrank.llm.common import table
 from quillrank.llm.exact_dedup import exact_dedup
 from quillrank.llm.line_dedup import line_dedup
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -52,4 +56,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_quality_classifier, op4_best_fit_packing, op5_sentencepiece, op6_ngram_jaccard, op7_url_filter, op8_quality_rules, op9_secret_scan, op10_line_dedup)}
+    found = (
+        op1_suffix_dedup, op2_exact_dedup, op3_quality_classifier, op4_best_fit_packing, op5_sentencepiece,
+        op6_ngram_jaccard, op7_url_filter, op8_quality_rules, op9_secret_scan, op10_line_dedup,
+    )
+    return {f.__name__: f for f in found}
