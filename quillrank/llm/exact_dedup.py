@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillrank.llm.common import checkpointed, shuffle_partitions, squeezed
+from quillrank.llm.row_filter import looked_up
 
 #: Bytes of the normalised text that lead the range key.
 LEADING = 24
@@ -93,3 +94,14 @@ def _hot_groups(hot: DataFrame) -> DataFrame:
     parts = parts.join(sizes.withColumnRenamed("cls", "part_cls"), ["sha", "salt", "part_cls"])
     parts = parts.withColumn("size", F.sum("part").over(Window.partitionBy("sha", "group"))).select("sha", "salt", F.col("part_cls").alias("cls"), "first_id", "size")
     return hot.select("doc_id", "sha", "salt", "cls").join(F.broadcast(parts), ["sha", "salt", "cls"]).select(*_result("first_id", "size"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows that stay, with all their columns: one of each group, also of rows that repeat an id and a text."""
+    found = exact_dedup(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("repeats"))
+    marked = checkpointed(found.where(~F.col("stays") | (F.col("repeats") > 1)).withColumnsRenamed({"doc_id": "marked_id", "text_sha256": "marked_sha"}))
+    apart, maybe = looked_up(docs, F.col(id_col), marked.select("marked_id"))
+    maybe = maybe.withColumn("own_sha", F.sha2(squeezed(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    joined = maybe.join(marked, (F.col("own_sha") == F.col("marked_sha")) & F.col(id_col).eqNullSafe(F.col("marked_id")), "left")
+    stays = joined.where(F.coalesce("stays", F.lit(True)))
+    return apart.unionByName(stays.dropDuplicates([id_col, "own_sha"]).select(*docs.columns))

@@ -12,9 +12,10 @@ in any common order; the order is by document frequency, rarest first.
    with enough of them has no candidates at all. What is left of a prefix are the entries of the join.
 4. The documents of a shingle gather around its leader, the one with the smallest share of shingles that no one else
    has (the original of a family of edited copies). Two documents that share a prefix shingle share a leader, so
-   comparing within leaders' groups misses nothing. Length, positional and suffix filters drop members that can't
-   link with any other. Large groups are split into blocks, and each pair of blocks is a task of its own.
-5. A task compares its documents by whole sets and returns a spanning forest of the links, not the links.
+   comparing within leaders' groups misses nothing. Large groups are split into blocks, and each pair of blocks is a
+   task of its own.
+5. A task passes pairs through length, positional and suffix filters, compares what is left by whole sets, and
+   returns a spanning forest of the links, not the links.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from quillrank.llm.bloom import build, probe
 from quillrank.llm.common import checkpointed, shuffle_partitions, small_batches
 from quillrank.llm.components import connected
+from quillrank.llm.row_filter import without
 from quillrank.llm.shingles import fingerprint, shingle_set
 
 #: Similarity in percent.
@@ -167,33 +169,55 @@ def _ordered(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
+#: Parts that the suffix filter counts shingles in.
+_PARTS = 16
+
+
 def _linked(frame: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of the links among a task's documents: (u, v), v the smallest document of a tree."""
-    frame = frame.drop_duplicates(["doc_id", "text"]).sort_values(["doc_id", "text"], ignore_index=True)
-    ids, blocks = frame["doc_id"].to_numpy(np.int64), frame["block"].to_numpy()
+    """A spanning forest of the links among a task's documents: (u, v), v the smallest document of a tree.
+
+    Sorted by size, so that the length filter leaves a range. The positional filter bounds the overlap by what follows
+    the first entry that brought a document to this group, the suffix filter by the counts of shingles in parts of the
+    hash range. Documents of one tree aren't compared again.
+    """
+    frame = frame.drop_duplicates(["doc_id", "text"], ignore_index=True)
     sets = [shingle_set(t) for t in frame["text"]]
+    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(frame["doc_id"].iloc[i])))
+    frame, sets = frame.iloc[order], [sets[i] for i in order]
+    ids, blocks, place = (frame[c].to_numpy(np.int64) for c in ("doc_id", "block", "place"))
     sizes = np.array([len(s) for s in sets], np.int64)
     unique, back = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
     shared = np.bincount(back, minlength=len(unique))[back] > 1
     back, owner = back[shared], owner[shared]
     ends = np.searchsorted(owner, np.arange(len(sets) + 1))
+    part = (unique >> np.uint64(60)).astype(np.int64)[back]
+    counts = np.bincount(owner * _PARTS + part, minlength=len(sets) * _PARTS).reshape(-1, _PARTS)
+    follow = sizes - place
     across = len(set(blocks.tolist())) > 1
     tree = np.arange(len(sets))
     marked = np.zeros(len(unique), bool)
     for i in range(len(sets) - 1):
-        own = back[ends[i] : ends[i + 1]]
-        if PERCENT * sizes[i] > 100 * len(own):
-            continue  # the rest of its shingles are its own
-        rest = slice(ends[i + 1], None)
-        marked[own] = True
-        both = np.bincount(owner[rest][marked[back[rest]]], minlength=len(sets))
-        marked[own] = False
-        linked = (both > 0) & (100 * both >= PERCENT * (sizes + sizes[i] - both)) & (np.arange(len(sets)) > i)
+        longest = int(np.searchsorted(sizes, 100 * sizes[i] // PERCENT, "right"))
+        other = np.arange(i + 1, max(i + 1, longest))
+        least = PERCENT * (sizes[other] + sizes[i])  # 175 * overlap reaches this if they link
+        able = (tree[other] != tree[i]) & ((100 + PERCENT) * np.minimum(follow[other], follow[i]) >= least)
         if across:
-            linked &= blocks != blocks[i]
-        if linked.any():
-            joined = np.unique(tree[np.concatenate([[i], np.flatnonzero(linked)])])
+            able &= blocks[other] != blocks[i]
+        other, least = other[able], least[able]
+        other = other[(100 + PERCENT) * np.minimum(counts[other], counts[i]).sum(axis=1) >= least]
+        if not len(other):
+            continue
+        marked[back[ends[i] : ends[i + 1]]] = True
+        if len(other) < 32:
+            both = np.array([np.count_nonzero(marked[back[ends[j] : ends[j + 1]]]) for j in other.tolist()])
+        else:
+            rest = slice(ends[other[0]], ends[other[-1] + 1])
+            both = np.bincount(owner[rest][marked[back[rest]]], minlength=len(sets))[other]
+        marked[back[ends[i] : ends[i + 1]]] = False
+        linked = other[100 * both >= PERCENT * (sizes[other] + sizes[i] - both)]
+        if len(linked):
+            joined = np.unique(tree[np.append(linked, i)])
             tree[np.isin(tree, joined)] = joined[0]
     apart = tree != np.arange(len(sets))
     return pd.DataFrame({"u": ids[apart], "v": ids[tree[apart]]})
@@ -206,11 +230,11 @@ def _packed_documents(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def _members(entries: DataFrame) -> DataFrame:
-    """(leader, doc_id) of groups of two and more. Members are dropped that have too many shingles of their own."""
+    """(leader, doc_id, place) of groups of two and more; place is the first position of an entry that led there."""
     rank = F.struct((F.col("u") / F.col("n")).alias("own"), "doc_id")
     leaders = entries.groupBy("x").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > 1)
     leaders = leaders.select("x", F.col("first.doc_id").alias("leader"))
-    return checkpointed(entries.select("x", "doc_id").join(leaders, "x").select("leader", "doc_id").distinct())
+    return checkpointed(entries.select("x", "doc_id", "y").join(leaders, "x").groupBy("leader", "doc_id").agg(F.min("y").alias("place")))
 
 
 def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -222,8 +246,8 @@ def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
     parts = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = members.join(parts, "leader").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = placed.select("leader", "doc_id", "block", other.alias("other"))
-    placed = placed.select("leader", "doc_id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    placed = placed.select("leader", "doc_id", "place", "block", other.alias("other"))
+    placed = placed.select("leader", "doc_id", "place", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     return texts.join(placed, "doc_id").groupBy("leader", "i", "j").applyInPandas(_linked, "u long, v long")
 
 
@@ -253,3 +277,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield pd.DataFrame({"n_shingles": [len(shingle_set(t)) for t in batch["text"]]})
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows that stay, with all their columns: of each component the document with the smallest id."""
+    found = jaccard_components(docs, id_col, text_col)
+    return without(docs, id_col, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))

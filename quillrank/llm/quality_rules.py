@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm.boosted_trees import Trees, train
+from quillrank.llm.common import small_batches
 from quillrank.llm.statistics import FEATURES, counts, features
 from quillrank.llm.training_rows import MOST_LABELLED, labelled_texts
 
@@ -48,6 +50,20 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Trees:
     return train(x, y, np.array([-1 if f in LOWERS else 0 for f in FEATURES]))
 
 
+def verdicts(texts: list[str], trees: Trees, least: float = LEAST_PROBABILITY) -> pd.DataFrame:
+    """A row for each text: the counts, base_failed, probability, kept."""
+    rows, x = [], np.zeros((len(texts), len(FEATURES)))
+    for i, text in enumerate(texts):
+        found, words, lines = counts(text)
+        rows.append([found[k] for k in COUNTS])
+        x[i] = features(text, found, words, lines)
+    out = pd.DataFrame(np.array(rows, np.int64).reshape(-1, len(COUNTS)), columns=list(COUNTS))
+    out["base_failed"] = (out["n_words"] < LEAST_WORDS) | (100 * out["n_repeat_words"] > MOST_REPEAT_PERCENT * out["n_words"])
+    out["probability"] = trees.probability(x)
+    out["kept"] = ~out["base_failed"] & (out["probability"] >= least)
+    return out
+
+
 def quality_rules(docs: DataFrame, trees: Trees, least: float = LEAST_PROBABILITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, the five counts, base_failed, kept, probability.
 
@@ -55,22 +71,27 @@ def quality_rules(docs: DataFrame, trees: Trees, least: float = LEAST_PROBABILIT
     the trees' probability of good quality is at least `least`. Null and empty texts have no words and fail. Repeated
     rows and null ids stay; other columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows, x = [], np.zeros((len(batch), len(FEATURES)))
-            for i, text in enumerate(batch["text"]):
-                found, words, lines = counts(text)
-                rows.append([found[k] for k in COUNTS])
-                x[i] = features(text, found, words, lines)
-            out = pd.DataFrame(np.array(rows, np.int64).reshape(-1, len(COUNTS)), columns=list(COUNTS))
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            out["base_failed"] = (out["n_words"] < LEAST_WORDS) | (100 * out["n_repeat_words"] > MOST_REPEAT_PERCENT * out["n_words"])
-            out["probability"] = shared.value.probability(x)
-            out["kept"] = ~out["base_failed"] & (out["probability"] >= least)
-            yield out[["doc_id", *COUNTS, "base_failed", "kept", "probability"]]
+            yield verdicts(batch["text"].tolist(), shared.value, least).assign(doc_id=batch["doc_id"].to_numpy())
 
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = "doc_id string, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, kept boolean, probability double"
-    return rows.mapInPandas(judged, schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
+    schema = ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, probability double, kept boolean, doc_id string"
+    found = rows.mapInPandas(judged, schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
+    return found.select("doc_id", *COUNTS, "base_failed", "kept", "probability")
+
+
+def keep_good(docs: DataFrame, trees: Trees, least: float = LEAST_PROBABILITY, text_col: str = "text") -> DataFrame:
+    """The input rows that are kept, with all their columns."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array(verdicts(texts, shared.value, least)["kept"].to_numpy()))
+
+    return docs.mapInArrow(kept, docs.schema)

@@ -7,7 +7,6 @@ findings are joined back to every document that has the blob.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm.common import checkpointed, small_batches
+from quillrank.llm.row_filter import looked_up
 
 
 @dataclass(frozen=True)
@@ -48,6 +48,8 @@ MORE = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + MORE
+#: What stands in place of a redacted span.
+MARK = "[redacted]"
 LEDGER = "blob string, rule string, spans array<struct<start:int,end:int>>"
 
 
@@ -109,16 +111,27 @@ def digest(findings: DataFrame) -> DataFrame:
     return findings.select("doc_id", *map(of, base), F.sha2(line(F.filter("spans", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 
-def redacted(text: str | None, rules: tuple[Rule, ...] = RULES, mark: str = "[redacted]") -> str | None:
-    """The text with every span replaced; overlapping spans are one."""
-    spans = sorted(s for found in find(text or "", rules).values() for s in found)
+def cut_spans(text: str, spans: list[tuple[int, int]], mark: str = MARK) -> str:
+    """The text with `mark` in place of each span; overlapping spans are one."""
     out, at = [], 0
-    for start, end in spans:
+    for start, end in sorted(spans):
         if end > at:
             out += [text[at:start], mark] if start >= at else []
             at = end
-    return "".join([*out, text[at:]]) if spans else text
+    return "".join([*out, text[at:]])
 
 
-def blob_of(text: str | None) -> str:
-    return hashlib.sha256((text or "").encode()).hexdigest()
+def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows with all their columns, every finding in the text replaced by a mark."""
+    findings = scan(docs, ledger, rules, id_col, text_col)[0].where(F.size("spans") > 0)
+    spans = findings.groupBy("blob").agg(F.first("spans").alias("found_spans"))  # equal for equal blobs
+    spans = checkpointed(spans)
+    blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    apart, maybe = looked_up(docs, blob, spans.select("blob"))
+    joined = maybe.withColumn("own_blob", blob).join(spans, F.col("own_blob") == F.col("blob"), "left")
+
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else cut_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, found, strict=True)])
+
+    return apart.unionByName(joined.withColumn(text_col, cleaned(text_col, "found_spans")).select(*docs.columns))
