@@ -1 +1,12 @@
 """Ranked text retrieval and corpus preparation on Spark DataFrames."""
+
+from quillrank.functions.tokenizers import SimpleTokenizer, create_tokenizer, tokenize_text
+from quillrank.plans.benchmarks import benchmark_suite
+from quillrank.plans.models import BM25L, BM25Okapi, BM25Plus, PreprocessedQuery
+from quillrank.sources.corpus import preprocess_corpus, validate_corpus, validate_query
+
+__all__ = [
+    "BM25L", "BM25Okapi", "BM25Plus", "PreprocessedQuery", "SimpleTokenizer", "benchmark_suite", "create_tokenizer",
+    "preprocess_corpus", "tokenize_text", "validate_corpus", "validate_query",
+]
+__version__ = "0.1.0"
