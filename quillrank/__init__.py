@@ -1,12 +1,22 @@
-"""Ranked text retrieval and corpus preparation on Spark DataFrames."""
+"""Ranked text retrieval and corpus preparation on Spark DataFrames.
 
-from quillrank.functions.tokenizers import SimpleTokenizer, create_tokenizer, tokenize_text
-from quillrank.plans.benchmarks import benchmark_suite
-from quillrank.plans.models import BM25L, BM25Okapi, BM25Plus, PreprocessedQuery
-from quillrank.sources.corpus import preprocess_corpus, validate_corpus, validate_query
+Names are imported when they are first used, so Python workers load only what they run.
+"""
 
-__all__ = [
-    "BM25L", "BM25Okapi", "BM25Plus", "PreprocessedQuery", "SimpleTokenizer", "benchmark_suite", "create_tokenizer",
-    "preprocess_corpus", "tokenize_text", "validate_corpus", "validate_query",
-]
+from importlib import import_module
+
+_HOME = {
+    "quillrank.plans.models": ("BM25L", "BM25Okapi", "BM25Plus", "PreprocessedQuery"),
+    "quillrank.plans.benchmarks": ("benchmark_suite",),
+    "quillrank.functions.tokenizers": ("SimpleTokenizer", "create_tokenizer", "tokenize_text"),
+    "quillrank.sources.corpus": ("preprocess_corpus", "validate_corpus", "validate_query"),
+}
+__all__ = [name for names in _HOME.values() for name in names]
 __version__ = "0.1.0"
+
+
+def __getattr__(name: str):
+    for module, names in _HOME.items():
+        if name in names:
+            return getattr(import_module(module), name)
+    raise AttributeError(name)
