@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillrank.sources.shipping import ship
+
 #: Bits for each key, and the filter's largest size.
 BITS_PER_KEY, MOST_BYTES = 16, 1 << 25
 #: Odd multipliers that choose one bit in each word of a block, derived from a fixed seed.
@@ -28,6 +30,7 @@ def _place(hashes: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
 
 def build(hashes: DataFrame, n_keys: int) -> np.ndarray:
     """The filter of a one-column DataFrame of hashes, as words (n_blocks, 8); parts are combined by block."""
+    ship(hashes.sparkSession)
     n_blocks = block_count(n_keys)
 
     def parts(batches):
@@ -56,6 +59,7 @@ def maybe_listed(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def probe(words: np.ndarray, spark):
     """A Column function: may the hash be in the filter? The filter is broadcast; its size is bounded."""
+    ship(spark)
     shared = spark.sparkContext.broadcast(words)
 
     @F.pandas_udf("boolean")

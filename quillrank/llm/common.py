@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillrank.sources.shipping import ship
+
+_LIBC = ctypes.CDLL(None)
 #: The six ASCII blanks, `[\x20\x09-\x0D]`.
 BLANKS = " \t\n\x0b\f\r"
 
@@ -55,8 +60,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
 BATCH_ROWS = 500
 
 
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system: workers stay for later stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker and the JVM hold of a table of texts. A setting of the session's own stays."""
+    """Readies a session for Python stages over texts: the package is on the executors, and batches are small.
+
+    That bounds what a Python worker and the JVM hold of a table of texts. A setting of the session's own stays.
+    """
+    ship(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, BATCH_ROWS)

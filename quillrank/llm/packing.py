@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import checkpointed
+from quillrank.llm.common import checkpointed, give_back, small_batches
 
 #: Tokens of a sequence; the id that ends a document; bins that are open at most; sequences that a part fills, about.
 CAPACITY, END_ID, OPEN_BINS, PART_SEQUENCES = 2048, 0, 2048, 1500
@@ -39,11 +39,15 @@ def encoder(json_path: str, ranks_path: str | None):
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(json_path)
+    @lru_cache(maxsize=1)
+    def slow():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(json_path)
+
     if not ranks_path:
-        return lambda text: slow.encode(text, add_special_tokens=False).ids
+        return lambda text: slow().encode(text, add_special_tokens=False).ids
     import public_tokenizers
     import tiktoken
 
@@ -53,7 +57,7 @@ def encoder(json_path: str, ranks_path: str | None):
 
     def encode(text: str) -> list[int]:
         if _SPECIAL in text or _LONG_BLANKS.search(text):
-            return slow.encode(text, add_special_tokens=False).ids
+            return slow().encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
@@ -107,6 +111,7 @@ class OpenBins:
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, paths: tuple[str, str | None] | None = None) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32."""
+    small_batches(docs.sparkSession)
     json_path, ranks_path = paths or default_paths()
 
     def tokenised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,6 +125,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                     out.append((doc_id, piece, start, length, zlib.crc32(ids[start : start + length].tobytes())))
                     start += length
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = rows.mapInPandas(tokenised, "doc_id string, piece int, start long, length long, ids_crc32 long")
@@ -128,6 +134,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
 def best_fit(pieces_: DataFrame, capacity: int = CAPACITY, most_open: int = OPEN_BINS, part_sequences: int = PART_SEQUENCES) -> DataFrame:
     """Adds sequence_id and offset to rows with a length, none of them over `capacity`."""
+    small_batches(pieces_.sparkSession)
     total = pieces_.agg(F.sum("length")).first()[0] or 0
     parts = max(1, round(total / (capacity * part_sequences)))
     names = pieces_.columns

@@ -31,6 +31,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 def statistics_table(texts: DataFrame) -> DataFrame:
     """label and the features of each row of a table with label and text."""
 
+    small_batches(texts.sparkSession)
+
     def computed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"label": batch["label"], "x": [features(t, *counts(t)) for t in batch["text"]]})
