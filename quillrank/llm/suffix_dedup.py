@@ -30,15 +30,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.bloom import build, probe
-from quillrank.llm.common import checkpointed, shuffle_partitions, small_batches
+from quillrank.llm.bloom import build, maybe_listed, probe
+from quillrank.llm.common import checkpointed, give_back, shuffle_partitions, small_batches
 
 #: Bytes of a window and of an anchor.
 WINDOW, KMER = 100, 32
 #: Different stretches of an anchor in one batch from which on it is hot.
 MANY = 64
 #: Bytes that are hashed at a time, and bytes of a batch.
-CHUNK, BATCH = 2_000_000, 8_000_000
+CHUNK, BATCH = 1_000_000, 8_000_000
+#: Bytes of stretches that one suffix array is made of.
+ARRAY = 250_000
+#: Ranges of the second step for each shuffle partition: its tasks hold windows in full.
+FINER = 8
 _LOW = np.uint64((1 << 24) - 1)  # place of an anchor within a chunk
 _RNG = np.random.default_rng(3)
 _LETTERS = _RNG.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -189,8 +193,10 @@ def _anchored(shards: int):
             if size >= BATCH:
                 yield flush(parts, number)
                 parts, size, number = [], 0, number + 1
+                give_back()
         if parts:
             yield flush(parts, number)
+        give_back()
 
     return emit
 
@@ -293,10 +299,31 @@ def _stretched(shards: int):
                     open_, prints, size = [], [], 0
         if open_ or prints:
             yield flush(open_, prints)
+        give_back()
 
     return emit
 
 
+def _in_order(windows: np.ndarray) -> np.ndarray:
+    """Lexicographic order of the rows: by eight bytes, then eight more where those tie, then in full where rows still differ."""
+    first, second = (np.ascontiguousarray(windows[:, i : i + 8]).view(">u8").ravel().astype(np.uint64) for i in (0, 8))
+    order = np.argsort(first)
+    for keys in (first, first), (first, second):
+        tied = _same(*(k[order] for k in (first, keys[1])))
+        if keys[1] is first:
+            tied[:-1] |= tied[1:]
+            at = np.flatnonzero(tied)
+            order[at] = order[at][np.lexsort((second[order[at]], first[order[at]]))]
+    group = np.cumsum(~tied) - 1
+    at = np.flatnonzero(tied)
+    differ = np.unique(group[at[(windows[order[at]] != windows[order[at - 1]]).any(axis=1)]])
+    at = np.flatnonzero(np.isin(group, differ))
+    rows = order[at]
+    text = np.ascontiguousarray(windows[rows]).view(f"S{windows.shape[1]}").ravel()
+    order[at] = rows[np.lexsort((text, group[at]))]
+    return order
+
+
 class SuffixFamily:
     """Sorted levels of window-deep suffixes; each distinct one with the earliest place it starts at."""
 
@@ -314,11 +341,9 @@ class SuffixFamily:
             at = last[:-1] - back
             inside[at[at < len(inside)]] = False
         at = np.flatnonzero(inside)
-        windows = np.lib.stride_tricks.sliding_window_view(letters, WINDOW)[at]
-        words = np.zeros((len(at), -(-WINDOW // 8) * 8), np.uint8)
-        words[:, :WINDOW] = windows
-        order = np.lexsort(words.view(">u8").T[::-1])
-        return np.ascontiguousarray(windows[order]).view(f"S{WINDOW}").ravel(), at[order]
+        windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(letters, WINDOW)[at]) if len(at) else np.zeros((0, WINDOW), np.uint8)
+        order = _in_order(windows)
+        return windows[order].view(f"S{WINDOW}").ravel(), at[order]
 
     def add(self, keys: np.ndarray, doc: np.ndarray, start: np.ndarray) -> None:
         """Takes a batch, sorted by key: finds its matches within itself and with all levels, and makes it a level."""
@@ -393,12 +418,17 @@ def _matched_windows(frame: pd.DataFrame) -> pd.DataFrame:
         gone = _later(_same(one, two), doc, start)
         return _windows(doc[gone], start[gone])
     family = SuffixFamily()
-    for row in frame.itertuples():
-        sizes, docs, starts = (_whole(x) for x in (row.b, row.c, row.d))
-        keys, at = family.suffix_array(row.a, sizes)
-        begin = np.cumsum(sizes) - sizes
-        own = np.searchsorted(begin, at, "right") - 1
-        family.add(keys, docs[own], starts[own] + at - begin[own])
+    bodies, size = [], 0
+    for i, row in enumerate(frame.itertuples(), 1):
+        bodies.append((row.a, *(_whole(x) for x in (row.b, row.c, row.d))))
+        size += len(row.a)
+        if size >= ARRAY or i == len(frame):
+            sizes, docs, starts = (np.concatenate([b[k] for b in bodies]) for k in (1, 2, 3))
+            keys, at = family.suffix_array(b"".join(b[0] for b in bodies), sizes)
+            begin = np.cumsum(sizes) - sizes
+            own = np.searchsorted(begin, at, "right") - 1
+            family.add(keys, docs[own], starts[own] + at - begin[own])
+            bodies, size = [], 0
     gone = family.gone or [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     return _windows(*(np.concatenate(c) for c in zip(*gone, strict=True)))
 
@@ -416,7 +446,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     ids = found.where(F.col("status") != GONE).select("doc_id").distinct()
     maybe = probe(build(ids.select(F.xxhash64("doc_id")), ids.count()), spark)
     texts = docs.where(maybe(F.xxhash64("doc_id"))).join(wanted.hint("shuffle_hash"), "doc_id")
-    stretches = texts.mapInPandas(_stretched(shards), _PACKED)
+    stretches = texts.mapInPandas(_stretched(FINER * shards // 2), _PACKED)
     windows = stretches.groupBy("key").applyInPandas(_matched_windows, "doc_id long, start long, n int")
     return found.where(F.col("status") == GONE).select("doc_id", "start", "n").union(windows)
 
@@ -442,10 +472,14 @@ def cut_out(body: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, l
 _CLEANED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def _cleaned(with_bytes: bool):
+def _cleaned(with_bytes: bool, listed=None):
+    """listed: a filter of ids; rows whose `hash` may be in it are left out."""
+
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             out = []
+            if listed is not None:
+                frame = frame[~maybe_listed(listed.value, frame["hash"].to_numpy(np.int64))].assign(gone=None)
             for doc_id, text, gone in zip(frame["doc_id"], frame["text"], frame["gone"], strict=True):
                 body = text.encode("utf-8", "surrogatepass")
                 kept, spans = body, []
@@ -454,6 +488,7 @@ def _cleaned(with_bytes: bool):
                     kept, spans = cut_out(body, starts, starts + np.array([x["n"] for x in gone], np.int64) + WINDOW - 1)
                 out.append((doc_id, len(body), len(body) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_bytes else b""))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        give_back()
 
     return clean
 
@@ -472,12 +507,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = rows.where(F.col("doc_id").isNotNull())
     gone = checkpointed(repeated_windows(known))
     lists = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
-    # only texts that may lose something are joined; the others are done where they are read
-    maybe = probe(build(gone.select(F.xxhash64("doc_id")), gone.select("doc_id").distinct().count()), spark)
-    touched = F.coalesce(maybe(F.xxhash64("doc_id")), F.lit(False))
-    joined = known.where(touched).join(lists.hint("shuffle_hash"), "doc_id", "left")
-    apart = known.where(~touched).select("doc_id", "text", F.lit(None).cast("array<struct<start:bigint,n:int>>").alias("gone"))
+    # only texts that may lose something are joined; the others are done where they are read, in one Python worker
+    words = build(gone.select(F.xxhash64("doc_id")), gone.select("doc_id").distinct().count())
+    joined = known.where(probe(words, spark)(F.xxhash64("doc_id"))).join(lists.hint("shuffle_hash"), "doc_id", "left")
+    apart = known.select("doc_id", "text", F.xxhash64("doc_id").alias("hash"))
+    apart = apart.mapInPandas(_cleaned(with_bytes, spark.sparkContext.broadcast(words)), _CLEANED)
     lost = rows.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<struct<start:bigint,n:int>>").alias("gone"))
     clean = _cleaned(with_bytes)
-    both = joined.select("doc_id", "text", "gone").mapInPandas(clean, _CLEANED).union(apart.mapInPandas(clean, _CLEANED))
+    both = joined.select("doc_id", "text", "gone").mapInPandas(clean, _CLEANED).union(apart)
     return both.union(lost.withColumn("doc_id", F.lit(0).cast("long")).mapInPandas(clean, _CLEANED).withColumn("doc_id", F.lit(None).cast("long")))
