@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm.bloom import build, probe
-from quillrank.llm.common import checkpointed, shuffle_partitions, small_batches
+from quillrank.llm.common import checkpointed, give_back, shuffle_partitions, small_batches
 from quillrank.llm.components import connected
 from quillrank.llm.row_filter import without
 from quillrank.llm.shingles import fingerprint, shingle_set
@@ -37,7 +37,7 @@ from quillrank.llm.shingles import fingerprint, shingle_set
 #: Similarity in percent.
 PERCENT = 75
 #: Shingles and documents of a batch; documents of a batch from which on a shingle is sent once.
-BATCH_SHINGLES, BATCH_DOCS, MANY = 1_500_000, 60_000, 64
+BATCH_SHINGLES, BATCH_DOCS, MANY = 700_000, 60_000, 64
 #: Members of a block of a group.
 BLOCK = 1500
 
@@ -64,7 +64,7 @@ def _packed(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["key", "kind", "batch", "a", "b", "c", "d"])
 
 
-def _emitted(shards: int):
+def _emitted(shards: int, many_docs: int):
     def flush(batch: int, ids: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
         prints = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
         sizes = np.array([len(s) for s in sets], np.int64)
@@ -83,7 +83,7 @@ def _emitted(shards: int):
             hashes, docs = hashes[order], docs[order]
             starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
             times = np.diff(starts, append=len(hashes))
-            unique, many = hashes[starts], times >= MANY
+            unique, many = hashes[starts], times >= many_docs
             each = np.repeat(many, times)
             if many.any():
                 rows.append((-1 - batch, _MANY, batch, _squashed(unique[many]), times[many].astype(np.uint16).tobytes(), docs[each].tobytes(), b""))
@@ -107,14 +107,16 @@ def _emitted(shards: int):
                 total += len(found)
                 if total >= BATCH_SHINGLES or len(ids) >= BATCH_DOCS:
                     yield flush(number, ids, sets)
+                    give_back()
                     number, ids, sets, total = number + 1, [], [], 0
         if ids:
             yield flush(number, ids, sets)
+        give_back()
 
     return emit
 
 
-def _counted(frame: pd.DataFrame) -> pd.DataFrame:
+def _counted(frame: pd.DataFrame, many_docs: int) -> pd.DataFrame:
     """Answers each batch: of its shingles in this range, those that two or more documents have, with their frequency."""
     if frame["kind"].iloc[0] != _SHARD:
         return frame.assign(key=frame["batch"])
@@ -122,12 +124,13 @@ def _counted(frame: pd.DataFrame) -> pd.DataFrame:
     times = [np.frombuffer(x, np.uint16) for x in frame["b"]]
     unique, back = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.bincount(back, np.concatenate(times), len(unique)).astype(np.int64)
+    give_back()
     rows, at = [], 0
     for batch, own, count, docs in zip(frame["batch"].tolist(), hashes, times, frame["c"], strict=True):
         frequency = total[back[at : at + len(own)]]
         at += len(own)
         shared = frequency > 1
-        few = np.where(count < MANY, count, 0)
+        few = np.where(count < many_docs, count, 0)
         kept = np.frombuffer(docs, np.uint16)[np.repeat(shared, few)]
         rows.append((batch, _SHARD, batch, _squashed(own[shared]), count[shared].tobytes(), kept.tobytes(), frequency[shared].tobytes()))
     return _packed(rows)
@@ -136,7 +139,7 @@ def _counted(frame: pd.DataFrame) -> pd.DataFrame:
 _ORDERED = "kind int, doc_id long, n long, x long, y long, u long"
 
 
-def _ordered(frame: pd.DataFrame) -> pd.DataFrame:
+def _ordered(frame: pd.DataFrame, many_docs: int) -> pd.DataFrame:
     """Of a batch: a row for each document (kind 0: x and y its fingerprint), and its prefix entries (kind 1: x the shingle, y its position)."""
     meta = frame[frame["kind"] == _META].iloc[0]
     ids, sizes = np.frombuffer(meta["a"], np.int64), np.frombuffer(meta["b"], np.int64)
@@ -149,7 +152,7 @@ def _ordered(frame: pd.DataFrame) -> pd.DataFrame:
     docs, hashes, frequency = [], [], []
     for row in frame[frame["kind"] == _SHARD].itertuples():
         own, times, f = _restored(row.a), np.frombuffer(row.b, np.uint16), np.frombuffer(row.d, np.int64)
-        few = times < MANY
+        few = times < many_docs
         docs.append(np.frombuffer(row.c, np.uint16))
         hashes.append(np.repeat(own[few], times[few]))
         frequency.append(np.repeat(f[few], times[few]))
@@ -220,13 +223,14 @@ def _linked(frame: pd.DataFrame) -> pd.DataFrame:
             joined = np.unique(tree[np.append(linked, i)])
             tree[np.isin(tree, joined)] = joined[0]
     apart = tree != np.arange(len(sets))
+    give_back()
     return pd.DataFrame({"u": ids[apart], "v": ids[tree[apart]]})
 
 
-def _packed_documents(docs: DataFrame, shards: int) -> DataFrame:
-    packed = docs.mapInPandas(_emitted(shards), _PACKED)
-    counted = packed.groupBy("key").applyInPandas(_counted, _PACKED)
-    return counted.groupBy("batch").applyInPandas(_ordered, _ORDERED)
+def _packed_documents(docs: DataFrame, shards: int, many_docs: int) -> DataFrame:
+    packed = docs.mapInPandas(_emitted(shards, many_docs), _PACKED)
+    counted = packed.groupBy("key").applyInPandas(lambda frame: _counted(frame, many_docs), _PACKED)
+    return counted.groupBy("batch").applyInPandas(lambda frame: _ordered(frame, many_docs), _ORDERED)
 
 
 def _members(entries: DataFrame) -> DataFrame:
@@ -237,13 +241,13 @@ def _members(entries: DataFrame) -> DataFrame:
     return checkpointed(entries.select("x", "doc_id", "y").join(leaders, "x").groupBy("leader", "doc_id").agg(F.min("y").alias("place")))
 
 
-def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, members: DataFrame, block: int) -> DataFrame:
     """Verified links, as spanning forests of the blocks' pairs."""
     spark = docs.sparkSession
     wanted = checkpointed(members.select("doc_id").distinct())
     maybe = probe(build(wanted.select(F.xxhash64("doc_id")), wanted.count()), spark)
     texts = docs.where(maybe(F.xxhash64("doc_id")))
-    parts = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    parts = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     placed = members.join(parts, "leader").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = placed.select("leader", "doc_id", "place", "block", other.alias("other"))
@@ -251,7 +255,7 @@ def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
     return texts.join(placed, "doc_id").groupBy("leader", "i", "j").applyInPandas(_linked, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", many_docs: int = MANY, block: int = BLOCK) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
     Null text counts as empty; texts without words have no shingles and link with nothing. Rows that repeat an id are
@@ -261,13 +265,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = rows.where(F.col("doc_id").isNotNull())
-    ordered = checkpointed(_packed_documents(known, 2 * shuffle_partitions(docs.sparkSession)))
+    ordered = checkpointed(_packed_documents(known, 2 * shuffle_partitions(docs.sparkSession), many_docs))
     own = ordered.where("kind = 0").select("doc_id", "n", "x", "y")
     classes = own.where("n > 0").groupBy("n", "x", "y").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     copies = checkpointed(own.join(classes, ["n", "x", "y"]).where(F.col("doc_id") != F.col("first_id")).select(F.col("doc_id").alias("u"), F.col("first_id").alias("v")))
     entries = ordered.where("kind = 1").join(copies.select(F.col("u").alias("doc_id")), "doc_id", "left_anti")
     members = _members(entries)
-    found = connected(_links(known, members).union(copies))
+    found = connected(_links(known, members, block).union(copies))
     parts = own.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("node"), "left")
     parts = parts.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     lost = rows.where(F.col("doc_id").isNull()).mapInPandas(_sizes, "n_shingles long")

@@ -22,6 +22,6 @@ def looked_up(rows: DataFrame, key: Column, wanted: DataFrame) -> tuple[DataFram
 
 def without(rows: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
     """Rows whose id isn't in the one-column table `dropped`. Null ids stay."""
-    dropped = dropped.toDF("dropped_id")
+    dropped = dropped.toDF("_dropped_id")
     apart, maybe = looked_up(rows, F.col(id_col), dropped)
-    return apart.unionByName(maybe.join(dropped.distinct(), F.col(id_col) == F.col("dropped_id"), "left_anti"))
+    return apart.unionByName(maybe.join(dropped.distinct(), F.col(id_col) == F.col("_dropped_id"), "left_anti"))

@@ -124,14 +124,14 @@ def cut_spans(text: str, spans: list[tuple[int, int]], mark: str = MARK) -> str:
 def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows with all their columns, every finding in the text replaced by a mark."""
     findings = scan(docs, ledger, rules, id_col, text_col)[0].where(F.size("spans") > 0)
-    spans = findings.groupBy("blob").agg(F.first("spans").alias("found_spans"))  # equal for equal blobs
+    spans = findings.groupBy(F.col("blob").alias("_blob")).agg(F.first("spans").alias("_spans"))  # equal for equal blobs
     spans = checkpointed(spans)
     blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    apart, maybe = looked_up(docs, blob, spans.select("blob"))
-    joined = maybe.withColumn("own_blob", blob).join(spans, F.col("own_blob") == F.col("blob"), "left")
+    apart, maybe = looked_up(docs, blob, spans.select("_blob"))
+    joined = maybe.withColumn("_own_blob", blob).join(spans, F.col("_own_blob") == F.col("_blob"), "left")
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else cut_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, found, strict=True)])
 
-    return apart.unionByName(joined.withColumn(text_col, cleaned(text_col, "found_spans")).select(*docs.columns))
+    return apart.unionByName(joined.withColumn(text_col, cleaned(text_col, "_spans")).select(*docs.columns))
