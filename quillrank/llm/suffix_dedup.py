@@ -41,8 +41,8 @@ MANY = 64
 CHUNK, BATCH = 1_000_000, 8_000_000
 #: Bytes of stretches that one suffix array is made of.
 ARRAY = 250_000
-#: Ranges of the second step for each shuffle partition: its tasks hold windows in full.
-FINER = 8
+#: Bytes of stretches in a range of the second step, about: a task holds a range's windows in full, 26 times that.
+RANGE = 500_000
 _LOW = np.uint64((1 << 24) - 1)  # place of an anchor within a chunk
 _RNG = np.random.default_rng(3)
 _LETTERS = _RNG.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -443,10 +443,11 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     packed = docs.mapInPandas(_anchored(shards), _PACKED)
     found = checkpointed(packed.groupBy("key").applyInPandas(_matched_runs, _FOUND))
     wanted = found.where(F.col("status") != GONE).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "status", "anchor")).alias("wanted"))
+    stretched = found.where(F.col("status") != GONE).agg(F.sum(F.col("n") + WINDOW - 1)).first()[0] or 0
     ids = found.where(F.col("status") != GONE).select("doc_id").distinct()
     maybe = probe(build(ids.select(F.xxhash64("doc_id")), ids.count()), spark)
     texts = docs.where(maybe(F.xxhash64("doc_id"))).join(wanted.hint("shuffle_hash"), "doc_id")
-    stretches = texts.mapInPandas(_stretched(FINER * shards // 2), _PACKED)
+    stretches = texts.mapInPandas(_stretched(stretched // RANGE + 1), _PACKED)
     windows = stretches.groupBy("key").applyInPandas(_matched_windows, "doc_id long, start long, n int")
     return found.where(F.col("status") == GONE).select("doc_id", "start", "n").union(windows)
 
