@@ -28,13 +28,17 @@ def doc_lengths(tokens: DataFrame) -> DataFrame:
 
 
 def postings_of(tokens: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, dl): dl rides along, so scoring needs no join with the documents.
+    """(term, doc_id, tf, dl), without a shuffle; dl rides along, so scoring needs no join with the documents.
 
-    A document's tokens are in one row, so the partial aggregate has already one row for each term and document; the
-    shuffle is on both, which spreads terms that every document has.
+    A document's tokens are in one row: sorted, each run of equal ones is a term with its frequency.
     """
-    words = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return words.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.max("dl").alias("dl"))
+    rows = tokens.select("doc_id", F.size("tokens").alias("dl"), F.sort_array("tokens").alias("t"))
+    # not a filter on dl: that would be pushed below the tokenizer and run it twice
+    places = F.when(F.col("dl") > 0, F.sequence(F.lit(0), F.greatest(F.col("dl") - 1, F.lit(0))))
+    begins = F.filter(places, lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    rows = rows.select("doc_id", "dl", "t", begins.alias("begins"))
+    each = F.transform("begins", lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("begins", k + 1), F.col("dl")) - i).alias("tf")))
+    return rows.select("doc_id", "dl", F.inline(each)).select("term", "doc_id", "tf", "dl")
 
 
 def doc_frequencies(postings: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillrank.functions.weights import Long, Okapi, Plus, Variant
 from quillrank.operators import ranking
 from quillrank.operators.index import Index, build_index, load_index, save_index
-from quillrank.sources.corpus import FAILED, NOT_TOKENS, of_texts, of_tokens, tokens_of
+from quillrank.sources.corpus import FAILED, NOT_TOKENS, of_texts, of_tokens, spread, tokens_of
 
 
 @dataclass(frozen=True)
@@ -71,7 +71,7 @@ class Model:
             corpus = of_texts(self.spark, corpus)
         elif not corpus.where(F.col("text").isNull()).isEmpty():
             raise ValueError("Documents must not be null.")
-        return tokens_of(corpus, self.tokenizer)
+        return tokens_of(spread(corpus), self.tokenizer)
 
     def _built(self, tokens: DataFrame) -> Index:
         """Built at once, so that a tokenizer's errors come from the constructor."""

@@ -28,6 +28,12 @@ def of_tokens(spark: SparkSession, tokens: Sequence[Sequence[str]]) -> DataFrame
     return spark.createDataFrame([(i, list(own)) for i, own in enumerate(tokens)], "doc_id long, tokens array<string>")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Deals a table out over all cores if its files make fewer partitions than there are cores; larger tables stay."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def with_dense_ids(texts: DataFrame, order_by: str, text_col: str = "text") -> DataFrame:
     """(doc_id, text) of a table without ids: 0, 1, ... in the order of a column, numbered by partition, not in one task."""
     rows = texts.select(order_by, F.col(text_col).alias("text")).orderBy(order_by)
