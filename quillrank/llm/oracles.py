@@ -33,5 +33,62 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f W
 """
 
 
+#: Windows of 100 bytes as hex; a window goes if it is not the first with its bytes, a byte if such a window covers it.
+OP1 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM d WHERE length(h) >= 200)),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1 AS gone FROM w),
+b AS (SELECT doc_id, p, max(CASE WHEN gone THEN p END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) IS NOT NULL AS removed
+      FROM (SELECT doc_id, unnest(range(0, length(h) // 2)) AS p FROM d) LEFT JOIN r USING (doc_id, p)),
+s AS (SELECT doc_id, p, removed, removed AND NOT coalesce(lag(removed) OVER (PARTITION BY doc_id ORDER BY p), false) AS first FROM b),
+t AS (SELECT doc_id, count(*) FILTER (removed) AS n_removed, count(*) FILTER (first) AS n_spans,
+             string_agg(substr(h, 2 * p + 1, 2), '' ORDER BY p) FILTER (NOT removed) AS kept FROM s JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+OP6 = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM t),
+e AS (SELECT doc_id, len(g)::BIGINT AS n, unnest(g) AS x FROM s),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n_common, any_value(a.n) AS m, any_value(b.n) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM c WHERE 100 * n_common >= 75 * (m + n - n_common)),
+k AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, k.v FROM reach JOIN k ON reach.b = k.u)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, min(reach.b) AS component_id FROM s JOIN reach ON reach.a = s.doc_id GROUP BY s.doc_id, len(g)
+"""
+
+
+def _secrets() -> str:
+    """Places by the lengths of what lies between matches: each match is taken with the text before it."""
+    kinds = {
+        "assign": (r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "length(last) >= 6", 0),
+        "access": ("AKIA[A-Z0-9]+", "length(hit) >= 20", 1),
+        "hex": ("[0-9a-f]+", "length(hit) >= 24", 2),
+        "pem": ("-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", "true", 3),
+        "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true", 4),
+    }
+    parts = []
+    for kind, (pattern, keep, rank) in kinds.items():
+        group = 3 if kind == "assign" else 2
+        parts.append(f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, stop - length(hit) AS start, stop FROM (
+SELECT doc_id, unnest(regexp_extract_all(text, '(?s)(.*?)({pattern})', 2)) AS hit, unnest(regexp_extract_all(text, '(?s)(.*?)({pattern})', {group})) AS last,
+unnest(list_transform(generate_series(1, len(regexp_extract_all(text, '(?s)(.*?)({pattern})', 0))),
+lambda i: list_sum(list_transform(regexp_extract_all(text, '(?s)(.*?)({pattern})', 0)[:i], lambda m: length(m)))))::BIGINT AS stop FROM documents) WHERE {keep}""")
+    line = "kind || ':' || start || ':' || stop"
+    return f"""
+WITH f AS ({' UNION ALL '.join(parts)}),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+             string_agg({line}, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg({line}, ',' ORDER BY start, rank) AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op7_url_filter": OP7, "op10_line_dedup": OP10}
+    return {
+        "op1_suffix_dedup": OP1, "op2_exact_dedup": OP2, "op6_ngram_jaccard": OP6, "op7_url_filter": OP7, "op9_secret_scan": _secrets(),
+        "op10_line_dedup": OP10,
+    }
