@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillrank.llm.common import checkpointed, shuffle_partitions, squeezed
-from quillrank.llm.row_filter import looked_up
 
 #: Bytes of the normalised text that lead the range key.
 LEADING = 24
@@ -99,9 +98,11 @@ def _hot_groups(hot: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows that stay, with all their columns: one of each group, also of rows that repeat an id and a text."""
     found = exact_dedup(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("repeats"))
-    marked = checkpointed(found.where(~F.col("stays") | (F.col("repeats") > 1)).withColumnsRenamed({"doc_id": "marked_id", "text_sha256": "marked_sha"}))
-    apart, maybe = looked_up(docs, F.col(id_col), marked.select("marked_id"))
-    maybe = maybe.withColumn("own_sha", F.sha2(squeezed(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    joined = maybe.join(marked, (F.col("own_sha") == F.col("marked_sha")) & F.col(id_col).eqNullSafe(F.col("marked_id")), "left")
-    stays = joined.where(F.coalesce("stays", F.lit(True)))
-    return apart.unionByName(stays.dropDuplicates([id_col, "own_sha"]).select(*docs.columns))
+    found = found.where(~F.col("stays") | (F.col("repeats") > 1))
+    marks = checkpointed(found.groupBy(F.col("doc_id").alias("_marked_id")).agg(F.collect_list(F.struct("text_sha256", "stays")).alias("_marks")))
+    joined = docs.join(marks.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_marked_id")), "left")
+    own = F.sha2(squeezed(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    verdict = F.get(F.filter("_marks", lambda m: m["text_sha256"] == own)["stays"], F.lit(0))
+    joined = joined.withColumn("_stays_once", F.when(F.col("_marks").isNull(), F.lit(None).cast("boolean")).otherwise(verdict))
+    once = joined.where("_stays_once").withColumn("_own_sha", own).dropDuplicates([id_col, "_own_sha"])
+    return joined.where("_stays_once is null").select(*docs.columns).unionByName(once.select(*docs.columns))
