@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,7 +185,7 @@ def _anchored(shards: int):
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts: list[tuple] = []
-        size, number = 0, 0
+        size, number = 0, TaskContext.get().partitionId() << 24
         for ids, offsets, text, begin, end in _chunks(batches):
             starts, n, anchor, stretch = runs(text, begin, end)
             piece = np.searchsorted(begin, starts, "right") - 1
@@ -254,7 +255,7 @@ def _matched_runs(frame: pd.DataFrame) -> pd.DataFrame:
 def _stretched(shards: int):
     """Map side of the second step: the bytes of open runs by anchor, fingerprints of hot runs' windows by themselves."""
 
-    def flush(open_: list[tuple], prints: list[tuple]) -> pd.DataFrame:
+    def flush(open_: list[tuple], prints: list[tuple], number: int) -> pd.DataFrame:
         rows = []
         if open_:
             key = np.array([x[0] for x in open_], np.int64).view(np.uint64)
@@ -268,7 +269,7 @@ def _stretched(shards: int):
             one, two, doc, start = (c[order] for c in (one, two, doc, start))
             same = _same(one, two)
             gone = _later(same, doc, start)
-            rows.append((-1, _DIRECT, _planes(doc[gone]), _planes(start[gone]), b"", b"", b""))
+            rows.append((-1 - number, _DIRECT, _planes(doc[gone]), _planes(start[gone]), b"", b"", b""))
             one, two, doc, start = (c[~same] for c in (one, two, doc, start))
             at = np.concatenate([[0], np.searchsorted(one, _cuts(shards)), [len(one)]])
             for s in np.flatnonzero(np.diff(at)).tolist():
@@ -279,7 +280,7 @@ def _stretched(shards: int):
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_: list[tuple] = []
         prints: list[tuple] = []
-        size = 0
+        size, number = 0, TaskContext.get().partitionId() << 24
         for frame in batches:
             for doc_id, text, wanted in zip(frame["doc_id"].tolist(), frame["text"], frame["wanted"], strict=True):
                 body = text.encode("utf-8", "surrogatepass")
@@ -295,10 +296,10 @@ def _stretched(shards: int):
                     else:
                         open_.append((anchor, doc_id, start, stretch))
                 if size >= BATCH:
-                    yield flush(open_, prints)
-                    open_, prints, size = [], [], 0
+                    yield flush(open_, prints, number)
+                    open_, prints, size, number = [], [], 0, number + 1
         if open_ or prints:
-            yield flush(open_, prints)
+            yield flush(open_, prints, number)
         give_back()
 
     return emit
