@@ -17,6 +17,10 @@ from quillrank.operators.index import Index, build_index, load_index, save_index
 from quillrank.sources.corpus import FAILED, NOT_TOKENS, of_texts, of_tokens, spread, tokens_of
 
 
+#: Terms whose weights a model remembers.
+MOST_REMEMBERED = 50_000
+
+
 @dataclass(frozen=True)
 class PreprocessedQuery:
     """A query's known terms with their weights in one model; to be used with that model only."""
@@ -59,6 +63,7 @@ class Model:
         given = corpus if corpus is not None else tokenized_corpus
         self.variant, self.tokenizer, self.dense = variant, tokenizer, not isinstance(given, DataFrame)
         self.spark = given.sparkSession if isinstance(given, DataFrame) else spark or _session()
+        self._weights: dict[str, float | None] = {}
         self.index = self._built(self._tokens(corpus, tokenized_corpus))
         if not self.index.n:
             self.index.unpersist()
@@ -99,7 +104,19 @@ class Model:
         return self.variant.b
 
     def preprocess_query(self, query: Sequence[str]) -> PreprocessedQuery:
-        return PreprocessedQuery(ranking.prepare(self.index, self.variant, _query(query)))
+        terms = _query(query)
+        self._learn(terms)
+        weights = self._weights
+        return PreprocessedQuery(ranking.PreparedQuery(tuple((t, weights[t]) for t in terms if weights[t] is not None)))
+
+    def _learn(self, terms: list[str]) -> None:
+        """Weights of terms that were asked for before need no job."""
+        if len(self._weights) > MOST_REMEMBERED:
+            self._weights = {}
+        new = [t for t in dict.fromkeys(terms) if t not in self._weights]
+        if new:
+            found = ranking.term_weights(self.index, self.variant, new)
+            self._weights = self._weights | {t: found.get(t) for t in new}
 
     def scores(self, query: Sequence[str] | PreprocessedQuery) -> DataFrame:
         """(doc_id, score) of every document."""
@@ -129,10 +146,8 @@ class Model:
         return ranking.top_n(self.index, self.variant, own.prepared, _count(n))
 
     def get_top_n_indices(self, query: Sequence[str], n: int | None = 5) -> list[tuple[int, float]]:
-        if _count(n) == 0:
-            _query(query)
-            return []
-        return [(r["doc_id"], r["score"]) for r in self.top_n(query, n).orderBy("rank").collect()]
+        own = self.preprocess_query(query)
+        return ranking.top_n_rows(self.index, self.variant, own.prepared, _count(n))
 
     def get_top_n(self, query: Sequence[str], documents: Sequence[str] | DataFrame, n: int | None = 5) -> list[tuple[str, float]]:
         """(text, score); texts come from `documents`, which must have as many rows as the corpus."""
@@ -153,7 +168,7 @@ class Model:
         wanted = self.spark.createDataFrame(list(enumerate(doc_ids)), "pos long, doc_id long")
         if any(i >= self.corpus_size for i in doc_ids) if self.dense else not ranking.unknown_ids(self.index, wanted).isEmpty():
             raise ValueError("One or more document IDs are out of range.")
-        found = ranking.scores_of(self.index, self.variant, ranking.prepare(self.index, self.variant, terms), wanted)
+        found = ranking.scores_of(self.index, self.variant, self.preprocess_query(terms).prepared, wanted)
         return found.toPandas().sort_values("pos")["score"].tolist()
 
     def query_table(self, queries: Sequence[Sequence[str]]) -> DataFrame:
@@ -165,13 +180,13 @@ class Model:
         table = queries if isinstance(queries, DataFrame) else self.query_table(queries)
         return ranking.prepared_table(self.index, self.variant, table)
 
-    def batch_scores(self, queries: Sequence[Sequence[str]] | DataFrame) -> DataFrame:
+    def batch_scores(self, queries: Sequence[Sequence[str]] | DataFrame, exact: bool = True) -> DataFrame:
         """(query_id, doc_id, score) of documents that share a term with the query, for all queries in one job."""
-        return ranking.batch_candidates(self.index, self.variant, self.prepared_table(queries))
+        return ranking.batch_candidates(self.index, self.variant, self.prepared_table(queries), exact=exact)
 
-    def batch_top_n(self, queries: Sequence[Sequence[str]] | DataFrame, n: int = 5) -> DataFrame:
-        """(query_id, rank, doc_id, score) for all queries in one job; candidates only."""
-        return ranking.batch_top_n(self.index, self.variant, self.prepared_table(queries), n)
+    def batch_top_n(self, queries: Sequence[Sequence[str]] | DataFrame, n: int = 5, exact: bool = True) -> DataFrame:
+        """(query_id, rank, doc_id, score) for all queries in one job; candidates only. exact: see ranking.batch_candidates."""
+        return ranking.batch_top_n(self.index, self.variant, self.prepared_table(queries), n, exact)
 
     def get_scores_batch(self, queries: Sequence[Sequence[str]]) -> list[list[float]]:
         """Scores of every document for each query."""
@@ -189,7 +204,7 @@ class Model:
     def load_from(self, path: str) -> None:
         """Takes a saved index in place of its own."""
         self.index.unpersist()
-        self.index = load_index(self.spark, path)
+        self.index, self._weights = load_index(self.spark, path), {}
 
     def close(self) -> None:
         self.index.unpersist()

@@ -134,6 +134,23 @@ def test_ways_agree(on_a):
         assert [(r["doc_id"], r["score"]) for r in ranked] == [x for x in top if x[1]]
 
 
+def test_fixed_point_batches(on_a):
+    for model in on_a.values():
+        queries = [["to", "be"], ["the", "the", "fox"], ["is"]]
+        exact = {(r["query_id"], r["doc_id"]): r["score"] for r in model.batch_scores(queries).collect()}
+        fast = {(r["query_id"], r["doc_id"]): r["score"] for r in model.batch_scores(queries, exact=False).collect()}
+        assert exact.keys() == fast.keys() and all(abs(exact[k] - fast[k]) < 1e-10 for k in exact)
+        assert model.batch_top_n(queries, 3, exact=False).count() == model.batch_top_n(queries, 3).count()
+
+
+def test_table_and_row_forms_of_top_n_agree(on_a):
+    for model in on_a.values():
+        for query in (["is", "the"], ["fox"], [], ["nothing0"]):
+            for n in (1, 3, 10, 20):
+                table = [(r["doc_id"], r["score"]) for r in model.top_n(query, n).orderBy("rank").collect()]
+                assert table == model.get_top_n_indices(query, n)
+
+
 def test_query_traps(on_a):
     model = on_a["okapi"]
     assert model.get_scores(["Quick"]) == [0.0] * 10
