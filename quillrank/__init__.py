@@ -6,8 +6,8 @@ Names are imported when they are first used, so Python workers load only what th
 from importlib import import_module
 
 _HOME = {
-    "quillrank.plans.models": ("BM25L", "BM25Okapi", "BM25Plus", "PreprocessedQuery"),
-    "quillrank.plans.benchmarks": ("benchmark_suite",),
+    "quillrank.plans.models": ("BM25L", "BM25Okapi", "BM25Plus", "PreprocessedQuery", "PyPreprocessedQuery"),
+    "quillrank.plans.benchmarks": ("benchmark_bm25",),
     "quillrank.functions.tokenizers": ("SimpleTokenizer", "create_tokenizer", "tokenize_text"),
     "quillrank.sources.corpus": ("preprocess_corpus", "validate_corpus", "validate_query"),
 }

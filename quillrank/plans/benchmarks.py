@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from statistics import mean
 
-from quillrank.plans.models import BM25Okapi, Model
+from quillrank.plans.models import BM25L, BM25Okapi, BM25Plus, Model
 from quillrank.sources.generators import random_corpus, random_queries
 
 
@@ -55,18 +55,31 @@ def benchmark_concurrent(model: Model, queries: Sequence[Sequence[str]], threads
     return {"threads": threads, "queries": len(queries), "seconds": seconds, "queries_per_second": len(queries) / seconds}
 
 
-def benchmark_suite(num_docs: int = 10_000, num_queries: int = 1000, single: int = 10, model: type[Model] = BM25Okapi) -> dict:
-    corpus = random_corpus(num_docs, seed=42)
+#: Corpus sizes for building, and queries that are timed one by one.
+SIZES, SINGLE = (1_000, 5_000, 10_000, 25_000), 20
+
+
+def benchmark_bm25(
+    corpus_sizes: Sequence[int] = SIZES, query_corpus_size: int = 10_000, num_queries: int = 1000,
+    bm25_variants: Sequence[type[Model]] = (BM25Okapi, BM25Plus, BM25L), include_concurrent: bool = True, **params,
+) -> dict:
+    """Building, queries (some one by one, all in one job, on subsets) and concurrent queries, for each model's name."""
+    out: dict[str, dict] = {"initialization": {}, "query_performance": {}, "concurrent_performance": {}}
+    corpus = random_corpus(query_corpus_size, seed=42)
     words = sorted({w for text in corpus[:200] for w in text.split()})
     queries = [q.split() for q in random_queries(words, num_queries, seed=7)]
-    built = model(corpus)
-    try:
-        return {
-            "build": benchmark_build([1000, num_docs], model),
-            "single": benchmark_queries(built, queries[:single]),
-            "batch": benchmark_batch(built, queries),
-            "subset": benchmark_subset(built, queries[:3], [10, 100, 1000]),
-            "concurrent": benchmark_concurrent(built, queries[: 2 * single]),
-        }
-    finally:
-        built.close()
+    for model in bm25_variants:
+        name = model.__name__
+        out["initialization"][name] = benchmark_build(corpus_sizes, model, **params)
+        built = model(corpus, **params)
+        try:
+            out["query_performance"][name] = {
+                "single": benchmark_queries(built, queries[:SINGLE]),
+                "batch": benchmark_batch(built, queries),
+                "subset": benchmark_subset(built, queries[:3], [10, 100, 1000, 5000]),
+            }
+            if include_concurrent:
+                out["concurrent_performance"][name] = benchmark_concurrent(built, queries[:SINGLE])
+        finally:
+            built.close()
+    return out

@@ -31,6 +31,10 @@ class PreprocessedQuery:
         return len(self.prepared)
 
 
+#: The name under which other programs know it.
+PyPreprocessedQuery = PreprocessedQuery
+
+
 def _session() -> SparkSession:
     return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 

@@ -1,4 +1,7 @@
-from quillrank.plans.benchmarks import benchmark_suite
+import random
+import string
+
+from quillrank import BM25Plus, benchmark_bm25
 from quillrank.sources.generators import random_corpus, random_documents, random_queries, zipf_corpus
 
 
@@ -18,5 +21,14 @@ def test_documents_on_executors(spark):
 
 
 def test_suite(spark):
-    found = benchmark_suite(60, 20, 1)
-    assert found["batch"]["queries"] == 20 and found["build"][0]["docs"] == 1000
+    found = benchmark_bm25([50], 60, 20, [BM25Plus], delta=0.5)
+    assert found["query_performance"]["BM25Plus"]["batch"]["queries"] == 20
+    assert found["initialization"]["BM25Plus"][0]["docs"] == 50
+    assert found["concurrent_performance"]["BM25Plus"]["threads"] == 4
+
+
+def test_seeds_give_the_same_words_as_the_module_generator():
+    random.seed(9)
+    words = ["".join(random.choices(string.ascii_lowercase, k=random.randint(3, 10))) for _ in range(30)]
+    text = " ".join(random.choices(words, k=max(10, int(random.normalvariate(20, 6.0)))))
+    assert random_corpus(1, 20, 30, seed=9) == [text]
