@@ -261,6 +261,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null text counts as empty; texts without words have no shingles and link with nothing. Rows that repeat an id are
     one node, linked if any of their texts links; each has its own n_shingles. A null id takes no part: its component
     is null. Ids are whole numbers. Other columns are ignored; an empty table gives an empty result.
+
+    Batches of documents are numbered where they are read, so a lost task must read the same rows again in the same
+    order: pass a table of files or a checkpoint, not the output of a shuffle.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

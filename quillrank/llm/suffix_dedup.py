@@ -502,6 +502,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty. Rows that repeat an id with the same text are one document. A null id takes no part: nothing is removed
     from it, and it removes nothing. Ids are whole numbers. Other columns are ignored; an empty table gives an empty
     result.
+
+    Copies within a batch are settled where it is read, so a lost task must read the same rows again in the same order:
+    pass a table of files or a checkpoint, not the output of a shuffle.
     """
     spark = docs.sparkSession
     small_batches(spark)
