@@ -168,5 +168,5 @@ def batch_top_n(index: Index, variant: Variant, prepared: DataFrame, n: int = 5,
 
 
 def with_text(ranked: DataFrame, documents: DataFrame) -> DataFrame:
-    """(rank, text, score) of at most n ranked rows, with texts of documents (doc_id, text)."""
-    return documents.join(F.broadcast(ranked), "doc_id").select("rank", "text", "score")
+    """(rank, text, score) of ranked rows, with texts of documents (doc_id, text). Their limit tells the optimizer their size."""
+    return documents.join(ranked, "doc_id").select("rank", "text", "score")
