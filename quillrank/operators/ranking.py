@@ -92,8 +92,11 @@ def batch_candidates(index: Index, variant: Variant, prepared: DataFrame, doc_id
     if not exact:
         total = F.sum(F.round(F.col("x") * _UNIT).cast("long")).cast("double") / _UNIT
         return hits.groupBy("query_id", "doc_id").agg(total.alias("score"))
-    every = hits.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("every"))
-    return every.select("query_id", "doc_id", F.aggregate("every", F.lit(0.0), lambda acc, e: acc + e["x"]).alias("score"))
+    # a running sum adds in the order of the window; the last row of a group has it all
+    in_order = Window.partitionBy("query_id", "doc_id").orderBy("pos")
+    running = F.sum("x").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    summed = hits.select("query_id", "doc_id", running.alias("score"), F.lead("pos").over(in_order).isNull().alias("last"))
+    return summed.where("last").select("query_id", "doc_id", "score")
 
 
 def scores(index: Index, variant: Variant, query: PreparedQuery) -> DataFrame:
