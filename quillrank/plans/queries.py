@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.functions.tokenizers import DefaultTokenizer, RegexTokenizer, SimpleTokenizer, WhitespaceTokenizer, text_tokenizer
-from quillrank.functions.weights import VARIANTS, Long, Okapi, Plus, Variant
+from quillrank.functions.weights import VARIANTS, Okapi, Variant
 from quillrank.operators import index as ix
 from quillrank.operators import ranking
 from quillrank.sources.corpus import blank_documents, preprocess_corpus, spread, tokens_of
@@ -188,7 +188,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         custom_tokenizer_scores, batch_scores, scores_batch_queries, batch_candidates, top_n_text,
     )
     return found | {f.__name__: f for f in own}
-
-
-#: Imported for callers that choose parameters by variant.
-__all__ = ["Long", "Okapi", "Plus", "queries"]
