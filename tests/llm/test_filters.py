@@ -39,7 +39,7 @@ def test_secret_scan(spark):
     assert "pem:0:" in next(r["spans"] for r in found if r["doc_id"] == 6)
 
 
-def test_ledger_scans_only_what_is_new(spark, monkeypatch):
+def test_ledger_scans_only_what_is_new(spark):
     first, ledger = secret_scan.scan(table(spark, SECRETS[:3]), rules=secret_scan.BASE)
     n = len(secret_scan.BASE)
     assert ledger.count() == 3 * n
