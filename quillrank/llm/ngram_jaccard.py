@@ -12,10 +12,11 @@ in any common order; the order is by document frequency, rarest first.
    with enough of them has no candidates at all. What is left of a prefix are the entries of the join.
 4. The documents of a shingle gather around its leader, the one with the smallest share of shingles that no one else
    has (the original of a family of edited copies). Two documents that share a prefix shingle share a leader, so
-   comparing within leaders' groups misses nothing. Large groups are split into blocks, and each pair of blocks is a
-   task of its own.
+   comparing within leaders' groups misses nothing.
 5. A task passes pairs through length, positional and suffix filters, compares what is left by whole sets, and
-   returns a spanning forest of the links, not the links.
+   returns a spanning forest of the links, not the links. Large groups are split into blocks, each with the leader in
+   it. Members that hang together with the leader in their block are settled among each other; only the others are
+   compared with all blocks. A family of copies, however large, takes work in proportion to its size.
 """
 
 from __future__ import annotations
@@ -176,18 +177,25 @@ def _ordered(frame: pd.DataFrame, many_docs: int) -> pd.DataFrame:
 _PARTS = 16
 
 
+_FOREST = "kind int, leader long, u long, v long"
+
+
 def _linked(frame: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of the links among a task's documents: (u, v), v the smallest document of a tree.
+    """A spanning forest of the links among a task's documents: kind 0, (u, v), v the smallest document of a tree.
+
+    Rows with side 0 and 1: only pairs across are compared. With side -1 all are, and in a group of several blocks the
+    documents outside the leader's tree are returned too: kind 1, u.
 
     Sorted by size, so that the length filter leaves a range. The positional filter bounds the overlap by what follows
     the first entry that brought a document to this group, the suffix filter by the counts of shingles in parts of the
     hash range. Documents of one tree aren't compared again.
     """
-    frame = frame.drop_duplicates(["doc_id", "text"], ignore_index=True)
+    frame = frame.drop_duplicates(["doc_id", "text", "side"], ignore_index=True)
+    leader, several = int(frame["leader"].iloc[0]), bool(frame["blocks"].iloc[0] > 1)
     sets = [shingle_set(t) for t in frame["text"]]
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(frame["doc_id"].iloc[i])))
     frame, sets = frame.iloc[order], [sets[i] for i in order]
-    ids, blocks, place = (frame[c].to_numpy(np.int64) for c in ("doc_id", "block", "place"))
+    ids, side, place = (frame[c].to_numpy(np.int64) for c in ("doc_id", "side", "place"))
     sizes = np.array([len(s) for s in sets], np.int64)
     unique, back = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -197,7 +205,7 @@ def _linked(frame: pd.DataFrame) -> pd.DataFrame:
     part = (unique >> np.uint64(60)).astype(np.int64)[back]
     counts = np.bincount(owner * _PARTS + part, minlength=len(sets) * _PARTS).reshape(-1, _PARTS)
     follow = sizes - place
-    across = len(set(blocks.tolist())) > 1
+    across = side[0] >= 0
     tree = np.arange(len(sets))
     marked = np.zeros(len(unique), bool)
     for i in range(len(sets) - 1):
@@ -206,7 +214,7 @@ def _linked(frame: pd.DataFrame) -> pd.DataFrame:
         least = PERCENT * (sizes[other] + sizes[i])  # 175 * overlap reaches this if they link
         able = (tree[other] != tree[i]) & ((100 + PERCENT) * np.minimum(follow[other], follow[i]) >= least)
         if across:
-            able &= blocks[other] != blocks[i]
+            able &= side[other] != side[i]
         other, least = other[able], least[able]
         other = other[(100 + PERCENT) * np.minimum(counts[other], counts[i]).sum(axis=1) >= least]
         if not len(other):
@@ -223,8 +231,12 @@ def _linked(frame: pd.DataFrame) -> pd.DataFrame:
             joined = np.unique(tree[np.append(linked, i)])
             tree[np.isin(tree, joined)] = joined[0]
     apart = tree != np.arange(len(sets))
+    out = pd.DataFrame({"kind": 0, "leader": leader, "u": ids[apart], "v": ids[tree[apart]]})
+    if several and not across:
+        loose = ~np.isin(tree, tree[ids == leader])
+        out = pd.concat([out, pd.DataFrame({"kind": 1, "leader": leader, "u": ids[loose], "v": ids[loose]})], ignore_index=True)
     give_back()
-    return pd.DataFrame({"u": ids[apart], "v": ids[tree[apart]]})
+    return out
 
 
 def _packed_documents(docs: DataFrame, shards: int, many_docs: int) -> DataFrame:
@@ -242,17 +254,29 @@ def _members(entries: DataFrame) -> DataFrame:
 
 
 def _links(docs: DataFrame, members: DataFrame, block: int) -> DataFrame:
-    """Verified links, as spanning forests of the blocks' pairs."""
+    """Verified links (u, v), as spanning forests."""
     spark = docs.sparkSession
     wanted = checkpointed(members.select("doc_id").distinct())
     maybe = probe(build(wanted.select(F.xxhash64("doc_id")), wanted.count()), spark)
     texts = docs.where(maybe(F.xxhash64("doc_id")))
-    parts = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = members.join(parts, "leader").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = placed.select("leader", "doc_id", "place", "block", other.alias("other"))
-    placed = placed.select("leader", "doc_id", "place", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return texts.join(placed, "doc_id").groupBy("leader", "i", "j").applyInPandas(_linked, "u long, v long")
+    groups = checkpointed(members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    placed = members.join(groups, "leader").withColumn("own", own)
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    first = placed.withColumn("j", F.explode(F.when(F.col("doc_id") == F.col("leader"), every).otherwise(F.array("own"))))
+    first = first.select("leader", "doc_id", "place", "blocks", F.lit(-1).alias("side"), F.lit(0).alias("i"), "j")
+    found = checkpointed(texts.join(first, "doc_id").groupBy("leader", "i", "j").applyInPandas(_linked, _FOREST))
+    links = found.where("kind = 0").select("u", "v")
+    loose = found.where("kind = 1").select("leader", F.col("u").alias("doc_id")).distinct()
+    if loose.isEmpty():
+        return links
+    parts = checkpointed(loose.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")))
+    both = placed.join(parts, "leader")
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    one = both.join(loose, ["leader", "doc_id"], "left_semi").select("leader", "doc_id", "place", "blocks", F.lit(0).alias("side"), part.alias("i"), F.explode(every).alias("j"))
+    other = both.select("leader", "doc_id", "place", "blocks", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("own").alias("j"))
+    more = texts.join(one.unionByName(other), "doc_id").groupBy("leader", "i", "j").applyInPandas(_linked, _FOREST)
+    return links.union(more.select("u", "v"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", many_docs: int = MANY, block: int = BLOCK) -> DataFrame:
