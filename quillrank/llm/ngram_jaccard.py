@@ -41,6 +41,8 @@ PERCENT = 75
 BATCH_SHINGLES, BATCH_DOCS, MANY = 700_000, 60_000, 64
 #: Members of a block of a group.
 BLOCK = 1500
+#: A set is hot when it has more documents than a range's share over this.
+HOT_SHARE = 8
 
 _SHARD, _META, _MANY = 0, 1, 2
 _PACKED = "key long, kind int, batch long, a binary, b binary, c binary, d binary"
@@ -245,6 +247,21 @@ def _packed_documents(docs: DataFrame, shards: int, many_docs: int) -> DataFrame
     return counted.groupBy("batch").applyInPandas(lambda frame: _ordered(frame, many_docs), _ORDERED)
 
 
+def _copies(own: DataFrame, ranges: int) -> DataFrame:
+    """(u, v): documents whose set another one with a smaller id has, and the smallest such id.
+
+    Sets of more than a share of all documents, at most ranges * HOT_SHARE of them, are joined by broadcast.
+    """
+    key = ["n", "x", "y"]
+    own = own.where("n > 0")
+    classes = own.groupBy(*key).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    classes = checkpointed(classes.where("copies > 1"))
+    share = own.count() // (ranges * HOT_SHARE)
+    hot, cold = classes.where(F.col("copies") > share), classes.where(F.col("copies") <= share)
+    found = own.join(F.broadcast(hot), key).unionByName(own.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key))
+    return found.where(F.col("doc_id") != F.col("first_id")).select(F.col("doc_id").alias("u"), F.col("first_id").alias("v"))
+
+
 def _members(entries: DataFrame) -> DataFrame:
     """(leader, doc_id, place) of groups of two and more; place is the first position of an entry that led there."""
     rank = F.struct((F.col("u") / F.col("n")).alias("own"), "doc_id")
@@ -294,8 +311,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = rows.where(F.col("doc_id").isNotNull())
     ordered = checkpointed(_packed_documents(known, 2 * shuffle_partitions(docs.sparkSession), many_docs))
     own = ordered.where("kind = 0").select("doc_id", "n", "x", "y")
-    classes = own.where("n > 0").groupBy("n", "x", "y").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    copies = checkpointed(own.join(classes, ["n", "x", "y"]).where(F.col("doc_id") != F.col("first_id")).select(F.col("doc_id").alias("u"), F.col("first_id").alias("v")))
+    copies = checkpointed(_copies(own, shuffle_partitions(docs.sparkSession)))
     entries = ordered.where("kind = 1").join(copies.select(F.col("u").alias("doc_id")), "doc_id", "left_anti")
     members = _members(entries)
     found = connected(_links(known, members, block).union(copies))
