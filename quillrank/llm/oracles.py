@@ -61,22 +61,30 @@ SELECT s.doc_id, len(g)::BIGINT AS n_shingles, min(reach.b) AS component_id FROM
 """
 
 
+def _any_case(words: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
 def _secrets() -> str:
-    """Places by the lengths of what lies between matches: each match is taken with the text before it."""
-    kinds = {
-        "assign": (r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "length(last) >= 6", 0),
-        "access": ("AKIA[A-Z0-9]+", "length(hit) >= 20", 1),
-        "hex": ("[0-9a-f]+", "length(hit) >= 24", 2),
-        "pem": ("-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", "true", 3),
-        "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true", 4),
-    }
-    parts = []
-    for kind, (pattern, keep, rank) in kinds.items():
-        group = 3 if kind == "assign" else 2
-        parts.append(f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, stop - length(hit) AS start, stop FROM (
-SELECT doc_id, unnest(regexp_extract_all(text, '(?s)(.*?)({pattern})', 2)) AS hit, unnest(regexp_extract_all(text, '(?s)(.*?)({pattern})', {group})) AS last,
-unnest(list_transform(generate_series(1, len(regexp_extract_all(text, '(?s)(.*?)({pattern})', 0))),
-lambda i: list_sum(list_transform(regexp_extract_all(text, '(?s)(.*?)({pattern})', 0)[:i], lambda m: length(m)))))::BIGINT AS stop FROM documents) WHERE {keep}""")
+    """A kind's matches and the pieces between them, each in one pass; a match starts behind all pieces and matches before it."""
+    begin, end = ("-----%s [A-Z ]*PRIVATE KEY(?: BLOCK)?-----" % x for x in ("BEGIN", "END"))
+    tail = r"(?:\r?\n[A-Za-z][A-Za-z-]*: [^\n]*)*(?:[ \t\r\n]*[A-Za-z0-9+/=]{16,})*"
+    assign = f"(?:{_any_case('password|passwd|secret|token|api_?key')})" + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = [
+        ("assign", assign, f"length(regexp_extract(hit, '{assign}', 1)) >= 6", "0"),
+        ("access", "AKIA[A-Z0-9]+", "length(hit) >= 20", "0"),
+        ("hex", "[0-9a-f]+", "length(hit) >= 24", "0"),
+        ("pem", f"{begin}(?:(?:[^-]|-{{1,4}}[^-])*{end}|{tail})", "true", "0"),
+        # the character before the first part is taken along, as there is no looking back
+        ("jwt", r"(?:^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true", "CASE WHEN starts_with(hit, 'eyJ') THEN 0 ELSE 1 END"),
+    ]
+    parts = [
+        f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, stop - length(hit) + {lead} AS start, stop FROM (
+SELECT doc_id, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY nth)::BIGINT AS stop FROM (
+SELECT doc_id, unnest(hits) AS hit, unnest(gaps[:len(hits)]) AS gap, generate_subscripts(hits, 1) AS nth FROM (
+SELECT doc_id, regexp_extract_all(text, '{pattern}') AS hits, string_split_regex(text, '{pattern}') AS gaps FROM documents WHERE regexp_matches(text, '{pattern}')))) WHERE {keep}"""
+        for rank, (kind, pattern, keep, lead) in enumerate(kinds)
+    ]
     line = "kind || ':' || start || ':' || stop"
     return f"""
 WITH f AS ({' UNION ALL '.join(parts)}),

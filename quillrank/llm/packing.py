@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm.common import checkpointed, give_back, small_batches
+from quillrank.sources.corpus import spread
 
 #: Tokens of a sequence; the id that ends a document; bins that are open at most; sequences that a part fills, about.
 CAPACITY, END_ID, OPEN_BINS, PART_SEQUENCES = 2048, 0, 2048, 1500
@@ -128,7 +129,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
         give_back()
 
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = rows.mapInPandas(tokenised, "doc_id string, piece int, start long, length long, ids_crc32 long")
+    found = spread(rows).mapInPandas(tokenised, "doc_id string, piece int, start long, length long, ids_crc32 long")
     return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 

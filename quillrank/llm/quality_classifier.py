@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from quillrank.llm.common import small_batches
 from quillrank.llm.statistics import FEATURES, counts, features
 from quillrank.llm.training_rows import MOST_LABELLED, labelled_texts
+from quillrank.sources.corpus import spread
 
 #: The score at the threshold.
 CUT = 0.3
@@ -124,5 +125,5 @@ def quality_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", held_out().alias("held_out"), "text")
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas has no null in integers
-    scores = rows.mapInPandas(scored, "doc_id string, held_out boolean, score double")
+    scores = spread(rows).mapInPandas(scored, "doc_id string, held_out boolean, score double")
     return scores.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType)).withColumn("predicted", (F.col("score") >= CUT).cast("int"))

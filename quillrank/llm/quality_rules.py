@@ -19,6 +19,7 @@ from quillrank.llm.boosted_trees import Trees, train
 from quillrank.llm.common import small_batches
 from quillrank.llm.statistics import FEATURES, counts, features
 from quillrank.llm.training_rows import MOST_LABELLED, labelled_texts
+from quillrank.sources.corpus import spread
 
 #: A document is rejected when the trees give label 1 less than this. Well under a half, so that clean documents stay.
 LEAST_PROBABILITY = 0.3
@@ -82,7 +83,7 @@ def quality_rules(docs: DataFrame, trees: Trees, least: float = LEAST_PROBABILIT
 
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, probability double, kept boolean, doc_id string"
-    found = rows.mapInPandas(judged, schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
+    found = spread(rows).mapInPandas(judged, schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
     return found.select("doc_id", *COUNTS, "base_failed", "kept", "probability")
 
 
@@ -96,4 +97,4 @@ def keep_good(docs: DataFrame, trees: Trees, least: float = LEAST_PROBABILITY, t
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array(verdicts(texts, shared.value, least)["kept"].to_numpy()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return spread(docs).mapInArrow(kept, docs.schema)

@@ -48,6 +48,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes a ledger into the shared folder, one for each run and table, and joins the findings from there."""
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"))[0])
 
 

@@ -21,7 +21,8 @@ def looked_up(rows: DataFrame, key: Column, wanted: DataFrame) -> tuple[DataFram
 
 
 def without(rows: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
-    """Rows whose id isn't in the one-column table `dropped`. Null ids stay."""
-    dropped = dropped.toDF("_dropped_id")
-    apart, maybe = looked_up(rows, F.col(id_col), dropped)
-    return apart.unionByName(maybe.join(dropped.distinct(), F.col(id_col) == F.col("_dropped_id"), "left_anti"))
+    """Rows whose id isn't in the one-column table `dropped`, with all their columns. Null ids stay, repeated rows too."""
+    packed = rows.select(F.struct(*rows.columns).alias("row"), F.col(id_col).alias("id"))
+    apart, maybe = looked_up(packed, F.col("id"), dropped)
+    left = maybe.join(dropped.toDF("id").distinct(), "id", "left_anti")
+    return apart.select("row.*").unionByName(left.select("row.*"))

@@ -1,8 +1,10 @@
 """Secret scans over a ledger of content-addressed blobs.
 
-Every version of a document is addressed by the SHA-256 of its text. The ledger lists which (blob, rule, rule version)
-have been scanned and what was found; a scan looks only at pairs that the ledger lacks, each distinct blob once, and
-findings are joined back to every document that has the blob.
+Every version of a document is addressed by the SHA-256 of its text. The ledger, a Parquet table that grows, lists which
+(blob, rule, rule version) have been scanned and what was found. A scan compares addresses first: only texts of blobs
+that the ledger lacks under some rule are read by rules, each distinct blob once. What is found is appended to the
+ledger, and the ledger's findings are joined back to every document that has the blob. Only addresses move for that; of
+the texts, just those whose blob has copies or is partly scanned are shuffled.
 """
 
 from __future__ import annotations
@@ -15,8 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import checkpointed, small_batches
+from quillrank.llm.common import checkpointed, exists, hot_share, replicated, salted, shared_path, shuffle_partitions, small_batches
 from quillrank.llm.row_filter import looked_up
+from quillrank.sources.corpus import spread
 
 
 @dataclass(frozen=True)
@@ -42,10 +45,13 @@ BASE = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", re.ASCII, 0, 20),
     Rule("hex", 1, r"[0-9a-f]{24,}", re.ASCII, 0, 24),
 )
-#: Further kinds, listed after the base ones.
+_BEGIN, _END = ("-----%s [A-Z ]*PRIVATE KEY(?: BLOCK)?-----" % x for x in ("BEGIN", "END"))
+#: Further kinds, listed after the base ones. pem: from the BEGIN line to the END line, whatever the body holds but five
+#: dashes in a row; without an END line, the header lines and runs of 16 and more base64 characters that follow. jwt:
+#: three parts, of which the first begins a word. All take time in proportion to the text.
 MORE = (
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("pem", 2, _BEGIN + r"(?:(?:[^-]++|-{1,4}(?!-))*+" + _END + r"|(?:\r?\n[A-Za-z][A-Za-z-]*+: [^\n]*+)*+(?:[ \t\r\n]*[A-Za-z0-9+/=]{16,})*)"),
+    Rule("jwt", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + MORE
 #: What stands in place of a redacted span.
@@ -58,28 +64,8 @@ def find(text: str, rules: tuple[Rule, ...] = RULES) -> dict[str, list[tuple[int
     return {r.kind: [m.span() for m in re.finditer(r.pattern, text, r.flags) if m.end(r.group) - m.start(r.group) >= r.least] for r in rules}
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(findings, ledger): findings has a row per input row: doc_id, blob, spans (array of kind, start, end in order).
-
-    ledger is what an earlier scan returned; blobs that it holds under a rule's present version are not read again.
-    The new ledger has a row for each scanned (blob, rule), with an empty array where nothing was found. Null text
-    counts as empty. Repeated rows and null ids stay; other columns are ignored; an empty table gives empty results.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    addressed = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("blob"), text.alias("text"))
-    wanted = [r.key for r in rules]
-    unseen = addressed.select("blob", "text")
-    if ledger is None:
-        ledger = spark.createDataFrame([], LEDGER)
-    else:
-        done = ledger.where(F.col("rule").isin(wanted)).groupBy("blob").agg(F.collect_set("rule").alias("done"))
-        unseen = unseen.join(done, "blob", "left")
-        unseen = unseen.where(F.col("done").isNull() | (F.size("done") < len(wanted)))
-    if "done" not in unseen.columns:
-        unseen = unseen.withColumn("done", F.lit(None).cast("array<string>"))
-    blobs = unseen.groupBy("blob").agg(F.first("text").alias("text"), F.first("done").alias("done"))
+def _scanned(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Ledger rows of (blob, text, done): one for each rule that is not done."""
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -90,15 +76,52 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
                 out += [(blob, r.key, [{"start": a, "end": b} for a, b in found[r.kind]]) for r in left]
             yield pd.DataFrame(out, columns=["blob", "rule", "spans"])
 
-    new = checkpointed(blobs.mapInPandas(scanned, LEDGER))
-    whole = ledger.unionByName(new)
-    rank = {r.key: i for i, r in enumerate(rules)}
+    return blobs.mapInPandas(scanned, LEDGER)
+
+
+def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(findings, ledger): findings has a row per input row: doc_id, blob, spans (array of kind, start, end in order).
+
+    ledger is the path of a table that earlier scans wrote, or where this one shall begin it (None: a new path in the
+    shared folder). Blobs that it holds under a rule's present version are not read again. The ledger that is returned
+    has a row for each scanned (blob, rule), with an empty array where nothing was found; rows are whole by themselves,
+    so a scan that breaks off leaves a valid ledger. Null text counts as empty. Repeated rows and null ids stay; other
+    columns are ignored; an empty table gives empty findings.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    path = ledger or shared_path(spark, "secret-ledger")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = spread(docs.select(F.col(id_col).alias("doc_id"), text.alias("text")))
+    addressed = texts.withColumn("blob", F.sha2("text", 256))
+    wanted = [r.key for r in rules]
+    paths = checkpointed(addressed.select("doc_id", "blob"))
+    present = checkpointed(paths.groupBy("blob").agg(F.count(F.lit(1)).alias("copies")))
+    share = hot_share(paths.count(), shuffle_partitions(spark))
+    hot = checkpointed(present.where(F.col("copies") > share).select("blob", F.ceil(F.col("copies") / share).cast("int").alias("parts")))
+
+    before = spark.read.schema(LEDGER).parquet(path) if exists(spark, path) else spark.createDataFrame([], LEDGER)
+    done = before.where(F.col("rule").isin(wanted)).join(present.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.collect_set("rule").alias("done"))
+    known = present.join(done, "blob", "left")
+    odd = checkpointed(known.where((F.col("copies") > 1) | F.col("done").isNotNull()).select("blob", "done"))
+    # most blobs have one path and are new: these texts are scanned where they are read
+    apart, maybe = looked_up(addressed, F.col("blob"), odd.select("blob"))
+    open_ = odd.where(F.col("done").isNull() | (F.size("done") < len(wanted)))
+    some = maybe.select("blob", "text").groupBy("blob").agg(F.first("text").alias("text"))  # equal for equal blobs
+    not_odd = some.join(odd.select("blob"), "blob", "left_anti").withColumn("done", F.lit(None).cast("array<string>"))  # passed by the filter's error
+    once = some.join(open_, "blob").unionByName(not_odd)
+    alone = apart.select("blob", "text", F.lit(None).cast("array<string>").alias("done"))
+    _scanned(alone, rules).unionByName(_scanned(once, rules)).write.mode("append").parquet(path)
+
+    whole = spark.read.schema(LEDGER).parquet(path)
     kinds = F.create_map(*(F.lit(x) for r in rules for x in (r.key, r.kind)))
-    ranks = F.create_map(*(F.lit(x) for k, i in rank.items() for x in (k, i)))
-    hits = whole.where(F.col("rule").isin(wanted) & (F.size("spans") > 0)).select("blob", "rule", F.explode("spans").alias("span"))
+    ranks = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.key, i)))
+    hits = whole.where(F.col("rule").isin(wanted) & (F.size("spans") > 0)).join(present.select("blob"), "blob", "left_semi")
+    hits = hits.select("blob", "rule", F.explode("spans").alias("span"))
     hits = hits.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("span.start", ranks[F.col("rule")].alias("rank"), "span.end", kinds[F.col("rule")].alias("kind")))).alias("found"))
     listed = F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    findings = addressed.select("doc_id", "blob").join(hits.select("blob", listed.alias("spans")), "blob", "left")
+    hits = replicated(hits.select("blob", listed.alias("spans")), "blob", hot)
+    findings = salted(paths, "blob", hot, F.monotonically_increasing_id()).join(hits, ["blob", "salt"], "left")
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return findings.select("doc_id", "blob", F.coalesce("spans", none).alias("spans")), whole
 
@@ -121,17 +144,25 @@ def cut_spans(text: str, spans: list[tuple[int, int]], mark: str = MARK) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows with all their columns, every finding in the text replaced by a mark."""
+def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows with all their columns, every finding in the text replaced by a mark.
+
+    A null text stays null. Repeated rows, null ids and ties stay as they are; an empty table gives an empty result;
+    overlapping findings get one mark. Column names may be any.
+    """
+    spark = docs.sparkSession
     findings = scan(docs, ledger, rules, id_col, text_col)[0].where(F.size("spans") > 0)
-    spans = findings.groupBy(F.col("blob").alias("_blob")).agg(F.first("spans").alias("_spans"))  # equal for equal blobs
-    spans = checkpointed(spans)
-    blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    apart, maybe = looked_up(docs, blob, spans.select("_blob"))
-    joined = maybe.withColumn("_own_blob", blob).join(spans, F.col("_own_blob") == F.col("_blob"), "left")
+    found = checkpointed(findings.groupBy("blob").agg(F.first("spans").alias("spans"), F.count(F.lit(1)).alias("copies")))  # equal for equal blobs
+    share = hot_share(found.agg(F.sum("copies")).first()[0] or 0, shuffle_partitions(spark))
+    hot = checkpointed(found.where(F.col("copies") > share).select("blob", F.ceil(F.col("copies") / share).cast("int").alias("parts")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("blob"))
+    apart, maybe = looked_up(rows, F.col("blob"), found.select("blob"))
+    joined = salted(maybe, "blob", hot, F.monotonically_increasing_id()).join(replicated(found.select("blob", "spans"), "blob", hot), ["blob", "salt"], "left")
 
     @F.pandas_udf("string")
-    def cleaned(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else cut_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, found, strict=True)])
+    def cleaned(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else cut_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)])
 
-    return apart.unionByName(joined.withColumn(text_col, cleaned(text_col, "_spans")).select(*docs.columns))
+    text = F.col("row").getField(text_col)
+    out = joined.select(F.col("row").withField(text_col, cleaned(text, F.col("spans"))).alias("row"))
+    return apart.select("row.*").unionByName(out.select("row.*"))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm.common import small_batches
+from quillrank.sources.corpus import spread
 
 BLANK = "▁"
 #: Code points in one suffix array; cuts that a worker remembers; characters of text taken at a time.
@@ -339,5 +340,5 @@ def encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id
             yield done()
 
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = rows.mapInPandas(coded, "doc_id string, n_ids long, ids array<int>, decoded_sha256 string")
+    found = spread(rows).mapInPandas(coded, "doc_id string, n_ids long, ids array<int>, decoded_sha256 string")
     return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
