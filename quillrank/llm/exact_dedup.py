@@ -2,7 +2,8 @@
 
 The normalised bytes are dealt out by range with sampled splitters, sorted within each range (Spark's external sort
 spills), and each row is compared in full with its neighbour. The range key is (leading bytes, SHA-256, salt): the
-leading bytes and the digest bound what a splitter holds, however long the texts are.
+leading bytes and the digest bound what a splitter holds, however long the texts are. So within equal leading bytes the
+order is by digest and then by the whole body; equal bodies are adjacent either way, and it is bodies that are compared.
 
 Skew. A text with more than its share of the rows is found by a count of 64-bit hashes (combined before the shuffle)
 and gets a salt, so its copies are sorted in several ranges; only the heads of those parts, a few for each such text,
@@ -14,14 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import checkpointed, shuffle_partitions, squeezed
+from quillrank.llm.common import checkpointed, hot_share, shuffle_partitions, squeezed
 
 #: Bytes of the normalised text that lead the range key.
 LEADING = 24
-#: A text is hot when it has more rows than a range's share over this; so at most ranges * HOT_SHARE texts are hot.
-HOT_SHARE = 8
-#: Rows that never make a text hot.
-HOT_LEAST = 64
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,7 +57,7 @@ def _hot(hashed: DataFrame, ranges: int) -> DataFrame:
     At most ranges * HOT_SHARE rows: that many shares make up the whole table. So it can be broadcast.
     """
     counted = checkpointed(hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n_rows")))
-    share = max(HOT_LEAST, (counted.agg(F.sum("n_rows")).first()[0] or 0) // (ranges * HOT_SHARE))
+    share = hot_share(counted.agg(F.sum("n_rows")).first()[0] or 0, ranges)
     return counted.where(F.col("n_rows") > share).select("hash", F.ceil(F.col("n_rows") / share).cast("int").alias("parts"))
 
 
@@ -96,13 +93,18 @@ def _hot_groups(hot: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows that stay, with all their columns: one of each group, also of rows that repeat an id and a text."""
+    """The input rows that stay, with all their columns: one of each group, also of rows that repeat an id and a text.
+
+    Null and empty texts are one group. Ties, repeated rows and null ids are as in exact_dedup; of repeats of the row
+    that stays, any one is kept. Column names may be any; an empty table gives an empty result.
+    """
     found = exact_dedup(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("repeats"))
     found = found.where(~F.col("stays") | (F.col("repeats") > 1))
-    marks = checkpointed(found.groupBy(F.col("doc_id").alias("_marked_id")).agg(F.collect_list(F.struct("text_sha256", "stays")).alias("_marks")))
-    joined = docs.join(marks.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_marked_id")), "left")
-    own = F.sha2(squeezed(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    verdict = F.get(F.filter("_marks", lambda m: m["text_sha256"] == own)["stays"], F.lit(0))
-    joined = joined.withColumn("_stays_once", F.when(F.col("_marks").isNull(), F.lit(None).cast("boolean")).otherwise(verdict))
-    once = joined.where("_stays_once").withColumn("_own_sha", own).dropDuplicates([id_col, "_own_sha"])
-    return joined.where("_stays_once is null").select(*docs.columns).unionByName(once.select(*docs.columns))
+    marks = checkpointed(found.groupBy("doc_id").agg(F.collect_list(F.struct("text_sha256", "stays")).alias("marks")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("own_id"))
+    joined = rows.join(marks.hint("shuffle_hash"), F.col("own_id").eqNullSafe(F.col("doc_id")), "left")
+    own = F.sha2(squeezed(F.coalesce(F.col("row").getField(text_col), F.lit(""))), 256)
+    verdict = F.get(F.filter("marks", lambda m: m["text_sha256"] == own)["stays"], F.lit(0))
+    joined = joined.withColumn("once", F.when(F.col("marks").isNull(), F.lit(None).cast("boolean")).otherwise(verdict))
+    once = joined.where("once").withColumn("sha", own).dropDuplicates(["own_id", "sha"])
+    return joined.where("once is null").select("row.*").unionByName(once.select("row.*"))

@@ -98,7 +98,7 @@ def brute_exact(rows):
 def test_exact_dedup(spark, monkeypatch):
     rows = [*awkward(), *[(1000 + i, "hot " * (1 + i % 3) + "\n" * (i % 5)) for i in range(200)], *[(2000 + i, "") for i in range(150)]]
     for least in (64, 3):
-        monkeypatch.setattr(exact_dedup, "HOT_LEAST", least)
+        monkeypatch.setattr("quillrank.llm.common.HOT_LEAST", least)
         got = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in whole(exact_dedup.exact_dedup(table(spark, rows)))]
         assert Counter(got) == brute_exact(rows)
     docs = table(spark, rows)
@@ -134,6 +134,27 @@ def test_line_dedup(spark):
     assert [tuple(x) for x in bitmaps[602]] == [(0, 2), (3, 1)]
 
 
+def test_line_dedup_hot_keys(spark, monkeypatch):
+    """Parts of hot keys: one document with many of the lines, a null id, a part with one document."""
+    monkeypatch.setattr("quillrank.llm.common.HOT_LEAST", 3)
+    line, other = "a line in very many of the documents", "A LINE in two and then three documents"
+    rows = [(i, "\n".join([line] * (1 + i % 3) + [f"own {i}"])) for i in range(60)] + [(None, line), (70, "\n".join([line] * 200))]
+    rows += [(80, other), (81, f" {other}\n{other}"), (82, f"x\n{other.lower()}"), (90, "the third line, in two documents\ny"), (91, "the third line, in two documents")]
+    found = line_dedup.line_dedup(table(spark, rows))
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in whole(found)) == brute_lines(rows)
+
+
+def test_line_dedup_sorts_by_document_and_position(spark):
+    """The pass over the ranges needs the secondary sort, and no other shuffle comes between range and pass."""
+    keys = spark.createDataFrame([(i % 40, 1, i, i % 7, i % 3) for i in range(300)], "doc_id long, text_hash long, pos int, h1 long, h2 long")
+    found = line_dedup.streamed(keys, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    window, sort = plan.index("Window"), plan.index("Sort [h1#")
+    assert "doc_id#" in (line := plan[sort : plan.index("\n", sort)]) and "DESC NULLS LAST" in line and "pos#" in line and "part#" in line
+    assert window < sort < plan.index("rangepartitioning") and "hashpartitioning" not in plan[: plan.index("rangepartitioning")]
+    assert {r["nth"] for r in whole(found)} <= set(range(1, 41))
+
+
 def shingles(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate(LOWER)) if w]
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
