@@ -1,9 +1,10 @@
 """Best-fit packing of tokenised documents into sequences, with a bounded number of open bins.
 
-Tokens are counted where the texts are; only a row of numbers for each piece moves on. These rows are checkpointed,
-dealt out evenly by hash, in as many parts as their tokens ask for, and sorted within a part from long to short. Each part
-is packed online: open bins stand in a bitset keyed by their free space, a piece goes into the bin it fills most, and
-when too many are open the fullest closes.
+Tokens are counted where the texts are; only a row of numbers for each piece moves on. These rows are checkpointed and
+dealt out evenly by hash, in as many parts as their tokens ask for. Each part is packed online in the order of the hash,
+with a bounded look-ahead: of each BLOCK pieces that arrive, the longer ones are placed first. A fixed number of open
+bins stand in a bitset keyed by their free space, a piece goes into the bin it fills most, and when all are open and
+none has room, the fullest closes. A part's memory is its open bins and one block, however long it is.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from quillrank.llm.common import checkpointed, give_back, small_batches
 from quillrank.sources.corpus import spread
 
-#: Tokens of a sequence; the id that ends a document; bins that are open at most; sequences that a part fills, about.
-CAPACITY, END_ID, OPEN_BINS, PART_SEQUENCES = 2048, 0, 2048, 1500
+#: Tokens of a sequence; the id that ends a document; bins that are open at most; pieces of the look-ahead; sequences
+#: that a part fills, about: many times the open bins, which are what it leaves partly filled at its end. A block of no
+#: more than twice the open bins keeps its long pieces from closing bins that its short ones would fill.
+CAPACITY, END_ID, OPEN_BINS, BLOCK, PART_SEQUENCES = 2048, 0, 256, 512, 6000
 #: Texts with such runs of blanks go to the slower encoder, whose pattern matching doesn't recurse.
 _LONG_BLANKS = re.compile(r"\s{500}")
 _SPECIAL = "<|endoftext|>"
@@ -77,10 +80,10 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
 
 
 class OpenBins:
-    """Online best fit. `place` gives the bin and the offset of a piece."""
+    """Online best fit. `place` gives the bin and the offset of a piece. `closed` counts bins that closed with room left."""
 
     def __init__(self, capacity: int = CAPACITY, most: int = OPEN_BINS):
-        self.capacity, self.most, self.free, self.open, self.made = capacity, most, 0, 0, 0
+        self.capacity, self.most, self.free, self.open, self.made, self.closed = capacity, most, 0, 0, 0, 0
         self.by_space: list[list[int]] = [[] for _ in range(capacity + 1)]
 
     def _take(self, space: int) -> int:
@@ -104,6 +107,7 @@ class OpenBins:
         else:
             if self.open >= self.most:
                 self._take((self.free & -self.free).bit_length() - 1)  # the fullest closes
+                self.closed += 1
             space, bin_ = self.capacity, self.made
             self.made += 1
         self._put(bin_, space - length)
@@ -133,7 +137,30 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
-def best_fit(pieces_: DataFrame, capacity: int = CAPACITY, most_open: int = OPEN_BINS, part_sequences: int = PART_SEQUENCES) -> DataFrame:
+def place_all(lengths: Iterator[np.ndarray], bins: OpenBins, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bin, offset) of each piece, array by array as its block is complete. Blocks don't depend on how arrays are cut."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def placed(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = np.empty((len(own), 2), np.int64)
+        for i in np.argsort(-own, kind="stable").tolist():
+            out[i] = bins.place(int(own[i]))
+        return out[:, 0], out[:, 1]
+
+    for part in lengths:
+        held.append(part)
+        size += len(part)
+        if size >= block:
+            whole = np.concatenate(held)
+            for at in range(0, size - block + 1, block):
+                yield placed(whole[at : at + block])
+            held, size = [whole[size - size % block :]], size % block
+    if size:
+        yield placed(np.concatenate(held))
+
+
+def best_fit(pieces_: DataFrame, capacity: int = CAPACITY, most_open: int = OPEN_BINS, part_sequences: int = PART_SEQUENCES, block: int = BLOCK) -> DataFrame:
     """Adds sequence_id and offset to rows with a length, none of them over `capacity`."""
     small_batches(pieces_.sparkSession)
     total = pieces_.agg(F.sum("length")).first()[0] or 0
@@ -141,13 +168,21 @@ def best_fit(pieces_: DataFrame, capacity: int = CAPACITY, most_open: int = OPEN
     names = pieces_.columns
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bins, base = OpenBins(capacity, most_open), TaskContext.get().partitionId() << 32
-        for batch in batches:
-            placed = np.array([bins.place(n) for n in batch["length"].tolist()], np.int64).reshape(-1, 2)
-            yield batch.assign(sequence_id=base + placed[:, 0], offset=placed[:, 1])
+        base, waiting = TaskContext.get().partitionId() << 32, []
+
+        def lengths() -> Iterator[np.ndarray]:
+            for batch in batches:
+                waiting.append(batch)
+                yield batch["length"].to_numpy(np.int64)
+
+        for bin_, offset in place_all(lengths(), OpenBins(capacity, most_open), block):
+            rows = pd.concat(waiting, ignore_index=True)
+            waiting[:] = [rows[len(bin_) :]]
+            yield rows[: len(bin_)].assign(sequence_id=base + bin_, offset=offset)
 
     kind = pieces_.schema["doc_id"].dataType
-    dealt = pieces_.repartition(parts, F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    by = F.xxhash64("doc_id", "piece")
+    dealt = pieces_.repartition(parts, by).sortWithinPartitions(by, "doc_id", "piece", "length", "ids_crc32")
     dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas has no null in integers
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema)
     return dealt.mapInPandas(packed, f"{schema}, sequence_id long, offset long").withColumn("doc_id", F.col("doc_id").cast(kind)).select(*names, "sequence_id", "offset")

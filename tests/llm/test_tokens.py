@@ -64,6 +64,37 @@ def test_open_bins_hold_and_close():
     assert [bins.place(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (2, 0)]
 
 
+def test_bins_close_in_pack(spark, ids_of, monkeypatch):
+    """More bins would be open at once than may be: some close with room, and every rule of a packing still holds."""
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.randint(1, 60))) for i in range(400)]
+    found = whole(packing.pack(table(spark, rows), capacity=64, most_open=3))
+    check_packed(rows, found, 64, ids_of)
+    lengths = [r["length"] for r in found]
+    bins = packing.OpenBins(64, 3)
+    made = sum(len(set(b.tolist())) for b, _ in packing.place_all(iter([np.array(lengths)]), bins, 16))
+    assert bins.closed > 10 and made >= bins.made >= -(-sum(lengths) // 64)
+
+
+def test_the_production_bound_binds():
+    """Pieces like those of documents: bins close, and the sequences stay within 1.02 of the fewest that hold the tokens."""
+    rng = np.random.default_rng(4)
+    lengths = np.where(rng.random(30_000) < 0.1, packing.CAPACITY, rng.integers(1, 1500, 30_000))
+    bins = packing.OpenBins()
+    for part in packing.place_all(iter(np.array_split(lengths, 7)), bins):
+        assert len(part[0])
+    assert bins.closed > 100 and bins.open <= packing.OPEN_BINS
+    assert bins.made <= 1.02 * lengths.sum() / packing.CAPACITY
+
+
+def test_blocks_do_not_depend_on_batches():
+    lengths = np.random.default_rng(5).integers(1, 2048, 5000)
+    for parts in (1, 3, 700):
+        out = [np.concatenate(c) for c in zip(*packing.place_all(iter(np.array_split(lengths, parts)), packing.OpenBins(), 100), strict=True)]
+        first = out if parts == 1 else first
+        assert all((a == b).all() for a, b in zip(out, first, strict=True)) and len(out[0]) == 5000
+
+
 def test_open_bins_equal_a_plain_search():
     rng = random.Random(1)
     bins, plain, closed = packing.OpenBins(50, 5), {}, 0
