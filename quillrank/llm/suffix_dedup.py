@@ -1,38 +1,42 @@
 """Removal of long repeated byte strings with a logarithmic family of suffix arrays.
 
 A byte goes if a string of WINDOW bytes covers it that also starts earlier: in a document with a smaller id, or earlier
-in the same one.
+in the same one. Every removal rests on a comparison of bytes; hashes only say what to compare.
 
 Only suffixes that can match are indexed. Each window is represented by its anchor, the KMER bytes in it with the least
 hash; equal windows have equal anchors at the same place, and neighbouring windows mostly share theirs, so a text
-falls into runs of windows, one in about 35 bytes.
-
-1. Map tasks send, for each run, fingerprints of its anchor and of its whole stretch of bytes to the range of anchors
-   that is theirs. Equal stretches are one there: all but the earliest go whole. Anchors that occur with one stretch
-   only match nothing else. What is left are stretches that share an anchor and differ somewhere.
-2. Their bytes are read again and sent by anchor. Within a task, each arriving batch gets a suffix array (all its
-   windows, sorted to the depth of a window), is merge-scanned against the levels that are there, which finds every
-   match, and becomes a level; levels of about equal size merge, so there are logarithmically many.
+falls into runs of windows, one in about 35 bytes. A run's windows lie in its stretch of bytes.
+
+1. Map tasks sort the runs of a batch by anchor and stretch; of stretches that are equal byte by byte all but the
+   earliest go. The anchors of the others are sent to the range of anchors that is theirs. Those of one run only match
+   nothing. What is left are runs that share an anchor with another one.
+2. Their stretches are read again and sent by anchor, equal ones of a batch once. Within a task, each arriving batch
+   gets a suffix array (the positions of all its windows, sorted to the depth of a window), is merge-scanned against the
+   levels that are there, which finds every match, and becomes a level; levels of about equal size merge, so there are
+   logarithmically many.
 3. The windows found are joined to the texts, and their union is cut out.
 
 An anchor that many runs of one batch share with different stretches (the rims of a passage that a third of all
-documents hold) is hot: a mark goes to its range instead of the runs, and its windows are dealt out by 128-bit
-fingerprints of their own, combined in each batch, so they spread evenly.
+documents hold) is hot: most of its windows are unlike any other, and one task must not hold them all. A mark goes to
+its range instead of the runs, fingerprints of its windows are dealt out evenly by themselves, and only windows whose
+fingerprint comes again go into step 2. There are few different ones of these.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm.bloom import build, maybe_listed, probe
-from quillrank.llm.common import checkpointed, give_back, shuffle_partitions, small_batches
+from quillrank.llm.common import checkpointed, give_back, numbered, shuffle_partitions, small_batches, survey
 
 #: Bytes of a window and of an anchor.
 WINDOW, KMER = 100, 32
@@ -40,19 +44,24 @@ WINDOW, KMER = 100, 32
 MANY = 64
 #: Bytes that are hashed at a time, and bytes of a batch.
 CHUNK, BATCH = 1_000_000, 8_000_000
-#: Bytes of stretches that one suffix array is made of.
-ARRAY = 250_000
-#: Bytes of stretches in a range of the second step, about: a task holds a range's windows in full, 26 times that.
-RANGE = 500_000
+#: Bytes of stretches that one suffix array is made of, and, about, in a range of the second step. A range's levels take
+#: seven times its bytes.
+ARRAY, RANGE = 400_000, 8_000_000
+#: Bytes of text whose anchors a range of the first step holds, about.
+ANCHOR_RANGE = 64_000_000
+#: Windows of a level that are compared at a time.
+BLOCK = 100_000
 _LOW = np.uint64((1 << 24) - 1)  # place of an anchor within a chunk
 _RNG = np.random.default_rng(3)
 _LETTERS = _RNG.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = _RNG.integers(1, 1 << 63, 4, dtype=np.uint64) | np.uint64(1)
 _BASES = _RNG.integers(1, 1 << 61, 2, dtype=np.uint64) * np.uint64(8) + np.uint64(5)
 
-_DIRECT, _RUNS, _STRETCHES, _PRINTS = 0, 1, 2, 3
+_DIRECT, _RUNS, _STRETCHES = 0, 1, 2
 _PACKED = "key long, kind int, a binary, b binary, c binary, d binary, e binary"
+_PACKED_ARROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abcde")])
 _FOUND = "doc_id long, start long, n int, status int, anchor long"
+_WINDOWS = "doc_id long, start long, n int, levels int"
 #: Of a run of windows: gone, to be compared, to be compared by fingerprints.
 GONE, OPEN, HOT = 1, 2, 3
 
@@ -158,17 +167,35 @@ def _later(same: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     return same & ((doc != doc[first]) | (start != start[first]))
 
 
+def _words_at(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number; a view."""
+    return np.ndarray((max(0, len(text) - 7),), "<u8", np.ascontiguousarray(text), strides=(1,))
+
+
+def _equal(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Are the stretches of `size` bytes (eight at least) from a and from b on equal, byte by byte?"""
+    words, ok = _words_at(text), np.ones(len(a), bool)
+    for at in range(0, int(size.max()) if len(size) else 0, 8):
+        own = np.minimum(at, size - 8)
+        ok &= words[a + own] == words[b + own]
+    return ok
+
+
 def _anchored(shards: int):
     """Map side of the first step."""
 
-    def flush(parts: list[tuple], number: int) -> pd.DataFrame:
-        anchor, stretch, doc, start, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+    def flush(texts: list[np.ndarray], parts: list[tuple], number: int) -> pd.DataFrame:
+        anchor, stretch, doc, start, n, at = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.lexsort((start, doc, stretch, anchor))
-        anchor, stretch, doc, start, n = (c[order] for c in (anchor, stretch, doc, start, n))
-        same = _same(anchor, stretch)
-        gone = _later(same, doc, start)
+        anchor, stretch, doc, start, n, at = (c[order] for c in (anchor, stretch, doc, start, n, at))
+        same = _same(anchor, stretch, n)
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+        i = np.flatnonzero(same)
+        equal = np.zeros(len(same), bool)
+        equal[i] = _equal(np.concatenate(texts), at[i], at[first[i]], n[i] + WINDOW - 1)
+        gone = equal & _later(same, doc, start)
         direct = [(doc[gone], start[gone], n[gone], np.full(gone.sum(), GONE), anchor[gone])]
-        anchor, stretch, doc, start, n = (c[~same] for c in (anchor, stretch, doc, start, n))
+        anchor, doc, start, n = (c[~equal] for c in (anchor, doc, start, n))
         head = ~_same(anchor)
         times = np.diff(np.flatnonzero(head), append=len(head))
         hot = np.repeat(times >= MANY, times)
@@ -176,27 +203,29 @@ def _anchored(shards: int):
         rows = [(-1 - number, _DIRECT, *(_planes(np.concatenate(c).astype(np.int64)) for c in list(zip(*direct, strict=True))[:4]), np.concatenate([x[4] for x in direct]).tobytes())]
         n = np.where(hot, 0, n)  # a mark
         kept = ~hot | head
-        anchor, stretch, doc, start, n = (c[kept] for c in (anchor, stretch, doc, start, n))
-        at = np.concatenate([[0], np.searchsorted(anchor, _cuts(shards)), [len(anchor)]])
-        for s in np.flatnonzero(np.diff(at)).tolist():
-            x = slice(at[s], at[s + 1])
-            rows.append((s, _RUNS, _squashed(anchor[x]), stretch[x].tobytes(), _planes(doc[x]), _planes(start[x]), n[x].astype(np.uint8).tobytes()))
+        anchor, doc, start, n = (c[kept] for c in (anchor, doc, start, n))
+        cut = np.concatenate([[0], np.searchsorted(anchor, _cuts(shards)), [len(anchor)]])
+        for s in np.flatnonzero(np.diff(cut)).tolist():
+            x = slice(cut[s], cut[s + 1])
+            rows.append((s, _RUNS, _squashed(anchor[x]), _planes(doc[x]), _planes(start[x]), n[x].astype(np.uint8).tobytes(), b""))
         return _rows(rows)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts: list[np.ndarray] = []
         parts: list[tuple] = []
         size, number = 0, TaskContext.get().partitionId() << 24
         for ids, offsets, text, begin, end in _chunks(batches):
             starts, n, anchor, stretch = runs(text, begin, end)
             piece = np.searchsorted(begin, starts, "right") - 1
-            parts.append((anchor, stretch, ids[piece], starts - begin[piece] + offsets[piece], n))
+            parts.append((anchor, stretch, ids[piece], starts - begin[piece] + offsets[piece], n, starts + size))
+            texts.append(text)
             size += len(text)
             if size >= BATCH:
-                yield flush(parts, number)
-                parts, size, number = [], 0, number + 1
+                yield flush(texts, parts, number)
+                texts, parts, size, number = [], [], 0, number + 1
                 give_back()
         if parts:
-            yield flush(parts, number)
+            yield flush(texts, parts, number)
         give_back()
 
     return emit
@@ -230,76 +259,149 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, ...]]
         yield chunk()
 
 
-def _matched_runs(frame: pd.DataFrame) -> pd.DataFrame:
-    """Reduce side of the first step: a row for each run that is gone or open."""
+def _shared_runs(frame: pd.DataFrame) -> pd.DataFrame:
+    """Reduce side of the first step: a row for each run that is gone, or shares its anchor."""
     if frame["kind"].iloc[0] == _DIRECT:
         columns = [np.concatenate([_whole(x) for x in frame[c]]) for c in "abcd"]
         return pd.DataFrame(dict(zip(("doc_id", "start", "n", "status"), columns, strict=True)) | {"anchor": np.concatenate([np.frombuffer(x, np.int64) for x in frame["e"]])})
     anchor = np.concatenate([_restored(x) for x in frame["a"]])
-    stretch = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["b"]])
-    doc, start = (np.concatenate([_whole(x) for x in frame[c]]) for c in "cd")
-    n = np.concatenate([np.frombuffer(x, np.uint8) for x in frame["e"]]).astype(np.int64)
-    order = np.lexsort((start, doc, stretch, n > 0, anchor))  # marks first
-    anchor, stretch, doc, start, n = (c[order] for c in (anchor, stretch, doc, start, n))
-    same = _same(anchor, stretch, n > 0)
-    gone = _later(same, doc, start) & (n > 0)
+    doc, start = (np.concatenate([_whole(x) for x in frame[c]]) for c in "bc")
+    n = np.concatenate([np.frombuffer(x, np.uint8) for x in frame["d"]]).astype(np.int64)
+    order = np.lexsort((start, doc, n > 0, anchor))  # marks first
+    anchor, doc, start, n = (c[order] for c in (anchor, doc, start, n))
+    fresh = (n > 0) & ~_same(anchor, doc, start, n > 0)  # rows that repeat an id and a text are one document
     group = np.cumsum(~_same(anchor)) - 1
-    marked = np.bincount(group, n == 0, group[-1] + 1 if len(group) else 0) > 0
-    kinds = np.bincount(group, ~same & (n > 0), len(marked))
-    open_ = ~same & (n > 0) & ((kinds > 1) | marked)[group]
-    status = np.where(gone, GONE, np.where(open_, np.where(marked[group], HOT, OPEN), 0))
-    kept = status > 0
+    groups = group[-1] + 1 if len(group) else 0
+    marked = np.bincount(group, n == 0, groups) > 0
+    kept = fresh & ((np.bincount(group, fresh, groups) > 1) | marked)[group]
+    status = np.where(marked[group], HOT, OPEN)
     return pd.DataFrame({"doc_id": doc[kept], "start": start[kept], "n": n[kept], "status": status[kept], "anchor": anchor[kept].view(np.int64)})
 
 
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, memoryview, dict[str, np.ndarray]]]:
+    """Of rows (doc_id, text, wanted, and maybe again): id, bytes, and the columns of the runs, sorted by start."""
+    for batch in batches:
+        texts = batch.column("text").cast(pa.large_binary())
+        lists = {c: batch.column(c) for c in batch.schema.names if c not in ("doc_id", "text")}
+        for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+            own = {}
+            for name, column in lists.items():
+                runs_ = column[i].values
+                for field in runs_.type if runs_ is not None else ():
+                    own[f"{name}.{field.name}"] = runs_.field(field.name).to_numpy(zero_copy_only=False)
+            yield doc_id, memoryview(texts[i].as_buffer()), own
+
+
+def _printed(shards: int):
+    """Fingerprints of hot runs' windows. Those that come again in the batch are settled; of each one, the first is sent."""
+
+    def flush(parts: list[tuple], number: int) -> pd.DataFrame:
+        one, two, doc, start = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((start, doc, two, one))
+        one, two, doc, start = (c[order] for c in (one, two, doc, start))
+        fresh = ~_same(one, two, doc, start)
+        one, two, doc, start = (c[fresh] for c in (one, two, doc, start))
+        same = _same(one, two)
+        again = same | np.append(same[1:], False)
+        rows = [(-1 - number, _DIRECT, _planes(doc[again]), _planes(start[again]), b"", b"", b"")]
+        one, two, doc, start = (c[~same] for c in (one, two, doc, start))
+        at = np.concatenate([[0], np.searchsorted(one, _cuts(shards)), [len(one)]])
+        for s in np.flatnonzero(np.diff(at)).tolist():
+            x = slice(at[s], at[s + 1])
+            rows.append((s, _RUNS, _squashed(one[x]), two[x].tobytes(), _planes(doc[x]), _planes(start[x]), b""))
+        return _rows(rows)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        size, number = 0, TaskContext.get().partitionId() << 24
+        for doc_id, body, own in _bodies(batches):
+            for start, n in zip(own["wanted.start"].tolist(), own["wanted.n"].tolist(), strict=True):
+                letters = np.frombuffer(body[start : start + n + WINDOW - 1], np.uint8)
+                parts.append((Hashed(letters).every(WINDOW), Hashed(letters, 1).every(WINDOW), np.full(n, doc_id), np.arange(start, start + n)))
+                size += n
+            if size >= BATCH // 8:
+                yield pa.RecordBatch.from_pandas(flush(parts, number), _PACKED_ARROW)
+                parts, size, number = [], 0, number + 1
+        if parts:
+            yield pa.RecordBatch.from_pandas(flush(parts, number), _PACKED_ARROW)
+        give_back()
+
+    return emit
+
+
+def _reprinted(frame: pd.DataFrame) -> pd.DataFrame:
+    """Windows, as runs, whose fingerprint comes again."""
+    if frame["kind"].iloc[0] == _DIRECT:
+        return _windows(*(np.concatenate([_whole(x) for x in frame[c]]) for c in "ab"))
+    one = np.concatenate([_restored(x) for x in frame["a"]])
+    two = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["b"]])
+    doc, start = (np.concatenate([_whole(x) for x in frame[c]]) for c in "cd")
+    order = np.lexsort((start, doc, two, one))
+    one, two, doc, start = (c[order] for c in (one, two, doc, start))
+    fresh = ~_same(one, two, doc, start)
+    one, two, doc, start = (c[fresh] for c in (one, two, doc, start))
+    same = _same(one, two)
+    again = same | np.append(same[1:], False)
+    return _windows(doc[again], start[again])
+
+
+def _common_parts(begin: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of intervals [begin, end): their parts inside the union of [a, b), as (which interval, begin, end)."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    head = np.concatenate([[True], a[1:] > b[:-1]]) if len(a) else np.zeros(0, bool)
+    a, b = a[head], b[np.append(np.flatnonzero(head)[1:], len(head)) - 1] if len(head) else b
+    low, high = np.searchsorted(b, begin, "right"), np.searchsorted(a, end, "left")
+    times = np.maximum(0, high - low)
+    which = np.repeat(np.arange(len(begin)), times)
+    part = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + low[which]
+    return which, np.maximum(begin[which], a[part]), np.minimum(end[which], b[part])
+
+
 def _stretched(shards: int):
-    """Map side of the second step: the bytes of open runs by anchor, fingerprints of hot runs' windows by themselves."""
-
-    def flush(open_: list[tuple], prints: list[tuple], number: int) -> pd.DataFrame:
-        rows = []
-        if open_:
-            key = np.array([x[0] for x in open_], np.int64).view(np.uint64)
-            shard = np.searchsorted(_cuts(shards), key, "right")
-            for s in np.unique(shard).tolist():
-                own = [open_[i] for i in np.flatnonzero(shard == s).tolist()]
-                rows.append((s, _STRETCHES, b"".join(x[3] for x in own), *(_planes(np.array(c, np.int64)) for c in ([len(x[3]) for x in own], [x[1] for x in own], [x[2] for x in own])), b""))
-        if prints:
-            one, two, doc, start = (np.concatenate(c) for c in zip(*prints, strict=True))
-            order = np.lexsort((start, doc, two, one))
-            one, two, doc, start = (c[order] for c in (one, two, doc, start))
-            same = _same(one, two)
-            gone = _later(same, doc, start)
-            rows.append((-1 - number, _DIRECT, _planes(doc[gone]), _planes(start[gone]), b"", b"", b""))
-            one, two, doc, start = (c[~same] for c in (one, two, doc, start))
-            at = np.concatenate([[0], np.searchsorted(one, _cuts(shards)), [len(one)]])
-            for s in np.flatnonzero(np.diff(at)).tolist():
-                x = slice(at[s], at[s + 1])
-                rows.append((shards + s, _PRINTS, _squashed(one[x]), two[x].tobytes(), _planes(doc[x]), _planes(start[x]), b""))
+    """Map side of the second step: the stretches of open runs, and of the hot runs' windows that come again, by anchor."""
+
+    def flush(held: list[tuple], number: int) -> pd.DataFrame:
+        anchor, doc, start = (np.array([x[k] for x in held], np.int64) for k in range(3))
+        order = np.lexsort((start, doc))
+        first: dict[tuple, int] = {}
+        gone, kept = [], []
+        for i in order.tolist():
+            j = first.setdefault((held[i][0], held[i][3]), i)  # equal stretches of a batch once
+            if j == i:
+                kept.append(i)
+            elif doc[i] != doc[j] or start[i] != start[j]:
+                gone.append(i)
+        n = np.array([len(held[i][3]) - WINDOW + 1 for i in gone], np.int64)
+        rows = [(-1 - number, _DIRECT, _planes(doc[gone]), _planes(start[gone]), _planes(n), b"", b"")]
+        shard = np.searchsorted(_cuts(shards), anchor[kept].view(np.uint64), "right")
+        by = np.argsort(shard, kind="stable")
+        at = np.flatnonzero(np.append(True, np.diff(shard[by]) != 0)) if len(by) else []
+        for group in np.split(by, at[1:]) if len(by) else ():
+            own = [kept[k] for k in group.tolist()]
+            sizes = np.array([len(held[i][3]) for i in own], np.int64)
+            rows.append((int(shard[group[0]]), _STRETCHES, b"".join(held[i][3] for i in own), _planes(sizes), _planes(doc[own]), _planes(start[own]), b""))
         return _rows(rows)
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_: list[tuple] = []
-        prints: list[tuple] = []
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         size, number = 0, TaskContext.get().partitionId() << 24
-        for frame in batches:
-            for doc_id, text, wanted in zip(frame["doc_id"].tolist(), frame["text"], frame["wanted"], strict=True):
-                body = text.encode("utf-8", "surrogatepass")
-                for run in wanted:
-                    start, n, status, anchor = run["start"], run["n"], run["status"], run["anchor"]
-                    stretch = body[start : start + n + WINDOW - 1]
-                    if len(stretch) != n + WINDOW - 1:
-                        continue  # another text with the same id
-                    size += len(stretch)
-                    if status == HOT:
-                        letters = np.frombuffer(stretch, np.uint8)
-                        prints.append((Hashed(letters).every(WINDOW), Hashed(letters, 1).every(WINDOW), np.full(n, doc_id), np.arange(start, start + n)))
-                    else:
-                        open_.append((anchor, doc_id, start, stretch))
-                if size >= BATCH:
-                    yield flush(open_, prints, number)
-                    open_, prints, size, number = [], [], 0, number + 1
-        if open_ or prints:
-            yield flush(open_, prints, number)
+        for doc_id, body, own in _bodies(batches):
+            start, n, status, anchor = (own[f"wanted.{c}"].astype(np.int64) for c in ("start", "n", "status", "anchor"))
+            begin, end = start, start + n
+            if (hot := status == HOT).any():
+                again = [own[f"again.{c}"].astype(np.int64) if f"again.{c}" in own else np.zeros(0, np.int64) for c in ("start", "n")]
+                which, a, b = _common_parts(begin[hot], end[hot], again[0], again[0] + again[1])
+                begin, end = np.concatenate([begin[~hot], a]), np.concatenate([end[~hot], b])
+                anchor = np.concatenate([anchor[~hot], anchor[hot][which]])
+            for a, b, key in zip(begin.tolist(), (end + WINDOW - 1).tolist(), anchor.tolist(), strict=True):
+                held.append((key, doc_id, a, bytes(body[a:b])))
+                size += b - a
+            if size >= BATCH:
+                yield pa.RecordBatch.from_pandas(flush(held, number), _PACKED_ARROW)
+                held, size, number = [], 0, number + 1
+        if held:
+            yield pa.RecordBatch.from_pandas(flush(held, number), _PACKED_ARROW)
         give_back()
 
     return emit
@@ -325,69 +427,128 @@ def _in_order(windows: np.ndarray) -> np.ndarray:
     return order
 
 
+@dataclass
+class Level:
+    """A suffix array: positions in a text of different windows, sorted, each with the earliest place it starts at."""
+
+    text: np.ndarray
+    at: np.ndarray
+    doc: np.ndarray
+    start: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def keys(self, a: int, b: int) -> np.ndarray:
+        """The windows from the a-th to the b-th, for comparisons."""
+        windows = np.lib.stride_tricks.sliding_window_view(self.text, WINDOW)
+        return np.ascontiguousarray(windows[self.at[a:b]]).view(f"S{WINDOW}").ravel()
+
+    def key(self, i: int) -> bytes:
+        return self.keys(i, i + 1)[0]
+
+    def taken(self, which: np.ndarray) -> Level:
+        return Level(self.text, self.at[which], self.doc[which], self.start[which])
+
+    def before(self, key: bytes) -> int:
+        """How many windows come before key."""
+        low, high = 0, len(self)
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (mid + 1, high) if self.key(mid) < key else (low, mid)
+        return low
+
+
+def suffix_array(text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of the windows of stretches that lie in a text one after the other, sorted."""
+    last = np.cumsum(sizes)
+    inside = np.ones(max(0, len(text) - WINDOW + 1), bool)
+    for back in range(1, WINDOW):
+        at = last[:-1] - back
+        inside[at[at < len(inside)]] = False
+    at = np.flatnonzero(inside)
+    if not len(at):
+        return at.astype(np.int32)
+    return at[_in_order(np.lib.stride_tricks.sliding_window_view(text, WINDOW)[at])].astype(np.int32)
+
+
 class SuffixFamily:
-    """Sorted levels of window-deep suffixes; each distinct one with the earliest place it starts at."""
+    """Levels of suffix arrays of geometric sizes. No window is in two of them."""
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.levels: list[Level] = []
+        self.most = 0
         self.gone: list[tuple[np.ndarray, np.ndarray]] = []
 
-    @staticmethod
-    def suffix_array(body: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows of the stretches in a body, sorted: the windows, and their starts within the body."""
-        letters = np.frombuffer(body, np.uint8)
-        last = np.cumsum(sizes)
-        inside = np.ones(max(0, len(letters) - WINDOW + 1), bool)
-        for back in range(1, WINDOW):
-            at = last[:-1] - back
-            inside[at[at < len(inside)]] = False
-        at = np.flatnonzero(inside)
-        windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(letters, WINDOW)[at]) if len(at) else np.zeros((0, WINDOW), np.uint8)
-        order = _in_order(windows)
-        return windows[order].view(f"S{WINDOW}").ravel(), at[order]
-
-    def add(self, keys: np.ndarray, doc: np.ndarray, start: np.ndarray) -> None:
-        """Takes a batch, sorted by key: finds its matches within itself and with all levels, and makes it a level."""
-        same = _same(keys)
-        if same.any():
-            group = np.cumsum(~same) - 1
-            order = np.lexsort((start, doc, group))
-            doc, start = doc[order], start[order]
-            self._gone(_later(same, doc, start), doc, start)
-            keys, doc, start = keys[~same], doc[~same], start[~same]
-        for level_keys, level_doc, level_start in self.levels:
-            at = np.searchsorted(level_keys, keys)
-            at[at == len(level_keys)] = 0
-            match = np.flatnonzero(level_keys[at] == keys)
-            there = at[match]
-            sooner = (doc[match] < level_doc[there]) | ((doc[match] == level_doc[there]) & (start[match] < level_start[there]))
-            equal = (doc[match] == level_doc[there]) & (start[match] == level_start[there])
-            late = np.zeros(len(keys), bool)
-            late[match[~sooner & ~equal]] = True
-            self._gone(late, doc, start)
-            turned = np.zeros(len(level_keys), bool)
-            turned[there[sooner]] = True
-            self._gone(turned, level_doc, level_start)
-            level_doc[there[sooner]], level_start[there[sooner]] = doc[match[sooner]], start[match[sooner]]
-            rest = np.ones(len(keys), bool)
-            rest[match] = False
-            keys, doc, start = keys[rest], doc[rest], start[rest]
-        if len(keys):
-            self.levels.append((keys, doc.copy(), start.copy()))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
+    def add(self, body: bytes, sizes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> None:
+        """Takes a batch of stretches: finds its matches within itself and with all levels, and makes it a level."""
+        text = np.frombuffer(body, np.uint8)
+        at = suffix_array(text, sizes)
+        begin = np.cumsum(sizes) - sizes
+        own = np.searchsorted(begin, at, "right") - 1
+        new = self._distinct(Level(text, at, docs[own], starts[own] + at - begin[own]))
+        for level in self.levels:
+            new = self._scan(level, new)
+        if len(new):
+            self.levels.append(new)
+        self.most = max(self.most, len(self.levels))
+        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
             self._merge()
 
+    def _distinct(self, new: Level) -> Level:
+        same = np.zeros(len(new), bool)
+        for a in range(0, len(new), BLOCK):
+            keys = new.keys(max(0, a - 1), a + BLOCK)
+            same[max(1, a) : a + BLOCK] = keys[1:] == keys[:-1]
+        if not same.any():
+            return new
+        order = np.lexsort((new.start, new.doc, np.cumsum(~same)))
+        new = new.taken(order)
+        self._gone(_later(same, new.doc, new.start), new.doc, new.start)
+        return new.taken(np.flatnonzero(~same))
+
+    def _scan(self, level: Level, new: Level) -> Level:
+        """Merge-scan: both in their order, a block of the level at a time. Returns what of the batch the level lacks."""
+        rest, done = np.ones(len(new), bool), 0
+        for a in range(0, len(level), BLOCK):
+            if done == len(new):
+                break
+            keys = level.keys(a, a + BLOCK)
+            upto = len(new) if a + BLOCK >= len(level) else new.before(level.key(a + BLOCK))
+            for b in range(done, upto, BLOCK):
+                mine = new.keys(b, min(upto, b + BLOCK))
+                at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                match = np.flatnonzero(keys[at] == mine)
+                here, there = b + match, a + at[match]
+                doc, start, ldoc, lstart = new.doc[here], new.start[here], level.doc[there], level.start[there]
+                sooner = (doc < ldoc) | ((doc == ldoc) & (start < lstart))
+                equal = (doc == ldoc) & (start == lstart)
+                self._gone(~sooner & ~equal, doc, start)
+                self._gone(sooner, ldoc, lstart)
+                level.doc[there[sooner]], level.start[there[sooner]] = doc[sooner], start[sooner]
+                rest[here] = False
+            done = upto
+        return new if rest.all() else new.taken(np.flatnonzero(rest))
+
     def _merge(self) -> None:
-        (a, *more_a), (b, *more_b) = self.levels.pop(), self.levels.pop()
-        place = np.searchsorted(b, a) + np.arange(len(a))  # no key is in both
-        from_b = np.ones(len(a) + len(b), bool)
-        from_b[place] = False
+        b, a = self.levels.pop(), self.levels.pop()
+        place, done = np.empty(len(b), np.int64), 0  # how many of a come before each of b
+        for at in range(0, len(a), BLOCK):
+            upto = len(b) if at + BLOCK >= len(a) else b.before(a.key(at + BLOCK))
+            keys = a.keys(at, at + BLOCK)
+            for i in range(done, upto, BLOCK):
+                j = min(upto, i + BLOCK)
+                place[i:j] = at + np.searchsorted(keys, b.keys(i, j))
+            done = upto
+        place += np.arange(len(b))
+        from_a = np.ones(len(a) + len(b), bool)
+        from_a[place] = False
         out = []
-        for x, y in zip((a, *more_a), (b, *more_b), strict=True):
-            both = np.empty(len(from_b), x.dtype)
-            both[place], both[from_b] = x, y
+        for x, y in ((a.at, b.at + np.int32(len(a.text))), (a.doc, b.doc), (a.start, b.start)):
+            both = np.empty(len(from_a), x.dtype)
+            both[from_a], both[place] = x, y
             out.append(both)
-        self.levels.append(tuple(out))
+        self.levels.append(Level(np.concatenate([a.text, b.text]), *out))
 
     def _gone(self, which: np.ndarray, doc: np.ndarray, start: np.ndarray) -> None:
         if which.any():
@@ -405,52 +566,70 @@ def _windows(doc: np.ndarray, start: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": doc[first], "start": start[first], "n": start[last] - start[first] + 1})
 
 
-def _matched_windows(frame: pd.DataFrame) -> pd.DataFrame:
-    """Reduce side of the second step: runs of windows that also start earlier."""
-    kind = frame["kind"].iloc[0]
-    if kind == _DIRECT:
-        return _windows(*(np.concatenate([_whole(x) for x in frame[c]]) for c in "ab"))
-    if kind == _PRINTS:
-        one = np.concatenate([_restored(x) for x in frame["a"]])
-        two = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["b"]])
-        doc, start = (np.concatenate([_whole(x) for x in frame[c]]) for c in "cd")
-        order = np.lexsort((start, doc, two, one))
-        one, two, doc, start = (c[order] for c in (one, two, doc, start))
-        gone = _later(_same(one, two), doc, start)
-        return _windows(doc[gone], start[gone])
-    family = SuffixFamily()
-    bodies, size = [], 0
-    for i, row in enumerate(frame.itertuples(), 1):
-        bodies.append((row.a, *(_whole(x) for x in (row.b, row.c, row.d))))
-        size += len(row.a)
-        if size >= ARRAY or i == len(frame):
-            sizes, docs, starts = (np.concatenate([b[k] for b in bodies]) for k in (1, 2, 3))
-            keys, at = family.suffix_array(b"".join(b[0] for b in bodies), sizes)
-            begin = np.cumsum(sizes) - sizes
-            own = np.searchsorted(begin, at, "right") - 1
-            family.add(keys, docs[own], starts[own] + at - begin[own])
-            bodies, size = [], 0
-    gone = family.gone or [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    return _windows(*(np.concatenate(c) for c in zip(*gone, strict=True)))
-
-
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """Runs (doc_id, start, n) of windows that also start earlier, of a table with doc_id (whole numbers, not null) and text.
-
-    Runs of a document may overlap. Places are in bytes of UTF-8.
+def _portions(frame: pd.DataFrame, array: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """Stretches as they arrived, cut into portions of about `array` bytes at most: body, sizes, ids and starts."""
+    for row in frame.itertuples():
+        sizes, docs, starts = (_whole(x) for x in (row.b, row.c, row.d))
+        end = np.cumsum(sizes)
+        cut = [0, *(np.flatnonzero(np.diff(end // array)) + 1).tolist(), len(sizes)]
+        for i, j in zip(cut, cut[1:]):
+            yield row.a[end[i] - sizes[i] : end[j - 1]], sizes[i:j], docs[i:j], starts[i:j]
+
+
+def _matched(array: int):
+    """Reduce side of the second step: runs of windows that also start earlier, and the most levels that there were (0: the batch alone)."""
+
+    def matched(frame: pd.DataFrame) -> pd.DataFrame:
+        if frame["kind"].iloc[0] == _DIRECT:
+            columns = [np.concatenate([_whole(x) for x in frame[c]]) for c in "abc"]
+            return pd.DataFrame(dict(zip(("doc_id", "start", "n"), columns, strict=True))).assign(levels=0)
+        family = SuffixFamily()
+        held, size = [], 0
+        for body, *columns in _portions(frame, array):
+            held.append((body, *columns))
+            size += len(body)
+            if size >= array:
+                family.add(b"".join(x[0] for x in held), *(np.concatenate([x[k] for x in held]) for k in (1, 2, 3)))
+                held, size = [], 0
+        if held:
+            family.add(b"".join(x[0] for x in held), *(np.concatenate([x[k] for x in held]) for k in (1, 2, 3)))
+        gone = family.gone or [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        return _windows(*(np.concatenate(c) for c in zip(*gone, strict=True))).assign(levels=family.most)
+
+    return matched
+
+
+def repeated_windows(docs: DataFrame, n_bytes: int, array: int = ARRAY, range_bytes: int = RANGE) -> DataFrame:
+    """Runs (doc_id, start, n, levels) of windows that also start earlier, of a table with doc_id (whole numbers, not null,
+    one text each) and text, of n_bytes in all.
+
+    Runs of a document may overlap. Places are in bytes of UTF-8. levels: how many the family had that found them; 0 for
+    what a batch of the input found by itself.
     """
     spark = docs.sparkSession
-    shards = 2 * shuffle_partitions(spark)
+    shards = max(2 * shuffle_partitions(spark), n_bytes // ANCHOR_RANGE)
     packed = docs.mapInPandas(_anchored(shards), _PACKED)
-    found = checkpointed(packed.groupBy("key").applyInPandas(_matched_runs, _FOUND))
-    wanted = found.where(F.col("status") != GONE).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "status", "anchor")).alias("wanted"))
-    stretched = found.where(F.col("status") != GONE).agg(F.sum(F.col("n") + WINDOW - 1)).first()[0] or 0
-    ids = found.where(F.col("status") != GONE).select("doc_id").distinct()
-    maybe = probe(build(ids.select(F.xxhash64("doc_id")), ids.count()), spark)
-    texts = docs.where(maybe(F.xxhash64("doc_id"))).join(wanted.hint("shuffle_hash"), "doc_id")
-    stretches = texts.mapInPandas(_stretched(stretched // RANGE + 1), _PACKED)
-    windows = stretches.groupBy("key").applyInPandas(_matched_windows, "doc_id long, start long, n int")
-    return found.where(F.col("status") == GONE).select("doc_id", "start", "n").union(windows)
+    found = checkpointed(packed.groupBy("key").applyInPandas(_shared_runs, _FOUND))
+    open_ = found.where(F.col("status") != GONE)
+    sums = found.groupBy("status").agg(F.sum(F.col("n") + WINDOW - 1).alias("b"), F.count(F.lit(1)).alias("n")).collect()  # three rows at most
+    sums = {r["status"]: (r["b"], r["n"]) for r in sums}
+    texts = _texts_of(docs, open_, ["start", "n", "status", "anchor"], "wanted")
+    if HOT in sums:
+        prints = _texts_of(docs, found.where(F.col("status") == HOT), ["start", "n"], "wanted").mapInArrow(_printed(max(shards, sums[HOT][0] // range_bytes)), _PACKED)
+        again = checkpointed(prints.groupBy("key").applyInPandas(_reprinted, "doc_id long, start long, n int"))
+        lists = again.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("again"))
+        texts = texts.join(lists.hint("shuffle_hash"), "doc_id", "left")
+    ranges = sum(sums[s][0] for s in (OPEN, HOT) if s in sums) // range_bytes + 1
+    windows = texts.mapInArrow(_stretched(ranges), _PACKED).groupBy("key").applyInPandas(_matched(array), _WINDOWS)
+    return found.where(F.col("status") == GONE).select("doc_id", "start", "n", F.lit(0).alias("levels")).union(windows)
+
+
+def _texts_of(docs: DataFrame, runs_: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """(doc_id, text, and a list of the runs) of documents that have any."""
+    lists = runs_.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias(name))
+    ids = runs_.select("doc_id").distinct()
+    maybe = probe(build(ids.select(F.xxhash64("doc_id")), ids.count()), docs.sparkSession)
+    return docs.where(maybe(F.xxhash64("doc_id"))).join(lists.hint("shuffle_hash"), "doc_id")
 
 
 def cut_out(body: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
@@ -499,9 +678,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed stretches), kept_sha256, kept.
 
     kept has the bytes that stay if with_bytes (they need not be valid UTF-8), else it is empty. Null text counts as
-    empty. Rows that repeat an id with the same text are one document. A null id takes no part: nothing is removed
-    from it, and it removes nothing. Ids are whole numbers. Other columns are ignored; an empty table gives an empty
-    result.
+    empty. Rows that repeat an id with the same text are one document; with another text they are documents of their
+    own, of which the one whose text has the smaller 64-bit hash (xxhash64, as a signed number) is the earlier. A null id
+    takes no part: nothing is removed from it, and it removes nothing. Ids are whole numbers. Other columns are ignored;
+    an empty table gives an empty result.
 
     Copies within a batch are settled where it is read, so a lost task must read the same rows again in the same order:
     pass a table of files or a checkpoint, not the output of a shuffle.
@@ -510,14 +690,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = rows.where(F.col("doc_id").isNotNull())
-    gone = checkpointed(repeated_windows(known))
+    about = survey(known)
+    if about.repeats:
+        own, names = numbered(known)
+        clean = _cleaned_rows(own.select(F.col("own").alias("doc_id"), "text"), about.n_bytes, with_bytes).withColumnRenamed("doc_id", "own")
+        known_out = clean.join(names, "own").select("doc_id", *clean.columns[1:])
+    else:
+        known_out = _cleaned_rows(known, about.n_bytes, with_bytes)
+    lost = rows.where(F.col("doc_id").isNull()).select(F.lit(0).cast("long").alias("doc_id"), "text", F.lit(None).cast("array<struct<start:bigint,n:int>>").alias("gone"))
+    return known_out.union(lost.mapInPandas(_cleaned(with_bytes), _CLEANED).withColumn("doc_id", F.lit(None).cast("long")))
+
+
+def _cleaned_rows(known: DataFrame, n_bytes: int, with_bytes: bool) -> DataFrame:
+    spark = known.sparkSession
+    gone = checkpointed(repeated_windows(known, n_bytes).select("doc_id", "start", "n"))
     lists = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     # only texts that may lose something are joined; the others are done where they are read, in one Python worker
     words = build(gone.select(F.xxhash64("doc_id")), gone.select("doc_id").distinct().count())
     joined = known.where(probe(words, spark)(F.xxhash64("doc_id"))).join(lists.hint("shuffle_hash"), "doc_id", "left")
     apart = known.select("doc_id", "text", F.xxhash64("doc_id").alias("hash"))
     apart = apart.mapInPandas(_cleaned(with_bytes, spark.sparkContext.broadcast(words)), _CLEANED)
-    lost = rows.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<struct<start:bigint,n:int>>").alias("gone"))
-    clean = _cleaned(with_bytes)
-    both = joined.select("doc_id", "text", "gone").mapInPandas(clean, _CLEANED).union(apart)
-    return both.union(lost.withColumn("doc_id", F.lit(0).cast("long")).mapInPandas(clean, _CLEANED).withColumn("doc_id", F.lit(None).cast("long")))
+    return joined.select("doc_id", "text", "gone").mapInPandas(_cleaned(with_bytes), _CLEANED).union(apart)

@@ -72,9 +72,11 @@ def test_suffix_family_levels():
     batches[5] = batches[2]
     batches[9] = batches[1][20:] + batches[3]
     for order, doc in enumerate(rng.permutation(12).tolist()):
-        keys, at = family.suffix_array(batches[doc], np.array([len(batches[doc])]))
-        assert keys.tolist() == sorted(keys.tolist()) and len(at) == len(batches[doc]) - 99
-        family.add(keys, np.full(len(at), doc), at.copy())
+        body, sizes = batches[doc], np.array([len(batches[doc])])
+        at = suffix_dedup.suffix_array(np.frombuffer(body, np.uint8), sizes)
+        keys = [body[i : i + 100] for i in at.tolist()]
+        assert keys == sorted(keys) and len(at) == len(body) - 99
+        family.add(body, sizes, np.array([doc]), np.array([0]))
         assert len(family.levels) <= np.log2(order + 1) + 3
     for doc in range(12):
         for p in range(len(batches[doc]) - 99):
@@ -84,6 +86,39 @@ def test_suffix_family_levels():
     assert got == want
 
 
+@pytest.mark.parametrize("block", [7, 100_000])
+def test_suffix_family_in_blocks(monkeypatch, block):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    test_suffix_family_levels()
+
+
+def test_levels_arise_in_the_operator(spark):
+    """Shared passages in many documents and batches: several levels, matches found across them, and all that there are."""
+    rng = random.Random(8)
+    passages = [prose(rng, 60) for _ in range(30)]
+    rows = [(i, f"{prose(rng, 20)} {rng.choice(passages)[rng.randint(0, 99) :]} {prose(rng, 20)}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    found = whole(suffix_dedup.repeated_windows(docs, 0, array=3_000, range_bytes=1 << 30))
+    assert max(r["levels"] for r in found) >= 4
+    texts, covered = dict(rows), defaultdict(lambda: np.zeros(2000, bool))
+    for r in found:
+        covered[r["doc_id"]][r["start"] : r["start"] + r["n"] + 99] = True
+    for doc_id, (_, removed, _, _) in brute_repeats(rows).items():
+        assert covered[doc_id].sum() == removed and removed < len(texts[doc_id])
+
+
+def test_suffix_dedup_ids_with_other_texts(spark):
+    """Rows that repeat an id with another text are documents of their own; which is earlier follows their texts' hashes."""
+    rng = random.Random(9)
+    p, t1, t2 = (prose(rng, 25) for _ in range(3))
+    rows = [(1, p), (2, f"{t1} {p}"), (2, t2), (3, t2), (3, f"{t2} x"), (3, f"{t2} x"), (-4, t1)]
+    hashes = {r["text"]: r["h"] for r in spark.createDataFrame(rows, "i long, text string").selectExpr("text", "xxhash64(text) h").collect()}
+    order = sorted(set(rows), key=lambda r: (r[0], hashes[r[1]]))
+    want = brute_repeats([(k, t) for k, (_, t) in enumerate(order)])
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in whole(suffix_dedup.remove_repeats(table(spark, rows))))
+    assert got == Counter((i, *want[order.index((i, t))]) for i, t in rows)
+
+
 def brute_exact(rows):
     groups = defaultdict(list)
     for doc_id, text in rows:
