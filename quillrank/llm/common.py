@@ -122,6 +122,16 @@ def replicated(table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     return marked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
 
 
+def joined_by_share(rows: DataFrame, table: DataFrame, key: list[str], size: str, share: int) -> DataFrame:
+    """An inner join in which no key's rows meet in one task: table has one row for each key with its number of rows.
+
+    Keys of more than `share` rows (see hot_share: a bounded number) are joined by broadcast, the others by key.
+    """
+    hot, cold = table.where(F.col(size) > share), table.where(F.col(size) <= share)
+    of_hot = rows.join(F.broadcast(hot), key)
+    return of_hot.unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key))
+
+
 @dataclass(frozen=True)
 class Survey:
     """Rows, bytes of text, and whether an id comes with different texts."""

@@ -1,8 +1,8 @@
 """N-gram Jaccard join: rare-first prefix filtering over 5-word shingles, verified on whole texts, and its components.
 
-Two documents link when 100 * intersection >= 75 * union of their shingle sets. Equal sets are found by fingerprint and
-only one document of them goes on. If two sets link, they share a shingle among the first n - ceil(0.75 n) + 1 of each
-in any common order; the order is by document frequency, rarest first.
+Two documents link when 100 * intersection >= 75 * union of their shingle sets. Equal sets are found by fingerprint
+(their number of shingles and 128 bits) and only one document of them goes on. If two sets link, they share a shingle
+among the first n - ceil(0.75 n) + 1 of each in any common order; the order is by document frequency, rarest first.
 
 1. Each map task turns batches of documents into shingle hashes, packed as sorted arrays and cut by range of hash.
    A shingle that many documents of a batch share goes on once, with its count; which documents have it goes with
@@ -10,13 +10,18 @@ in any common order; the order is by document frequency, rarest first.
 2. Each range counts document frequencies and answers each batch for its shingles of frequency 2 and more.
 3. Each batch puts its documents' shingles in order. Those of frequency 1 come first and match nothing, so a document
    with enough of them has no candidates at all. What is left of a prefix are the entries of the join.
-4. The documents of a shingle gather around its leader, the one with the smallest share of shingles that no one else
-   has (the original of a family of edited copies). Two documents that share a prefix shingle share a leader, so
-   comparing within leaders' groups misses nothing.
-5. A task passes pairs through length, positional and suffix filters, compares what is left by whole sets, and
-   returns a spanning forest of the links, not the links. Large groups are split into blocks, each with the leader in
-   it. Members that hang together with the leader in their block are settled among each other; only the others are
-   compared with all blocks. A family of copies, however large, takes work in proportion to its size.
+4. The join on prefix shingles: the documents of a shingle gather around its leader, the one with the smallest share
+   of shingles that no one else has (the original of a family of edited copies), so shingles with one leader make one
+   group. Two documents that share a prefix shingle share a leader, so comparing within leaders' groups misses nothing.
+   A pair with several leaders in common is compared in one group only, the smallest leader's of those where it passes
+   the positional filter (it does where its first common shingle leads to, if it links).
+5. A task passes pairs through length, positional and suffix filters (the last bounds the overlap by the numbers of
+   shingles in parts of the hash range), compares what is left by whole sets of hashes, and each link that joins two
+   trees by the words themselves. It returns a spanning forest of the links, not the links. Large groups are split into
+   blocks, each with the leader in it. Members that hang together with the leader in their block are settled among each
+   other; only the others are compared with all blocks. A family of copies, however large, takes work in proportion to
+   its size; a group of N documents of which many share a prefix shingle but do not link takes the pairs that any prefix
+   filter leaves, in blocks, over as many tasks.
 """
 
 from __future__ import annotations
@@ -30,19 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm.bloom import build, probe
-from quillrank.llm.common import checkpointed, give_back, shuffle_partitions, small_batches
+from quillrank.llm.common import checkpointed, give_back, hot_share, joined_by_share, numbered, shuffle_partitions, small_batches, survey
 from quillrank.llm.components import connected
 from quillrank.llm.row_filter import without
-from quillrank.llm.shingles import fingerprint, shingle_set
+from quillrank.llm.shingles import fingerprint, shingle_set, shingle_strings
 
 #: Similarity in percent.
 PERCENT = 75
 #: Shingles and documents of a batch; documents of a batch from which on a shingle is sent once.
 BATCH_SHINGLES, BATCH_DOCS, MANY = 700_000, 60_000, 64
-#: Members of a block of a group.
-BLOCK = 1500
-#: A set is hot when it has more documents than a range's share over this.
-HOT_SHARE = 8
+#: Members of a block of a group, and, about, of a task that compares them.
+BLOCK, TASK_MEMBERS = 1500, 600
+#: Bytes of text whose shingles a range of hashes holds, about.
+SHINGLE_RANGE = 16_000_000
 
 _SHARD, _META, _MANY = 0, 1, 2
 _PACKED = "key long, kind int, batch long, a binary, b binary, c binary, d binary"
@@ -190,7 +195,8 @@ def _linked(frame: pd.DataFrame) -> pd.DataFrame:
 
     Sorted by size, so that the length filter leaves a range. The positional filter bounds the overlap by what follows
     the first entry that brought a document to this group, the suffix filter by the counts of shingles in parts of the
-    hash range. Documents of one tree aren't compared again.
+    hash range. Documents of one tree aren't compared again, nor those that pass the positional filter in a smaller leader's
+    group too (but for the leader itself, so that its family hangs together here).
     """
     frame = frame.drop_duplicates(["doc_id", "text", "side"], ignore_index=True)
     leader, several = int(frame["leader"].iloc[0]), bool(frame["blocks"].iloc[0] > 1)
@@ -210,6 +216,13 @@ def _linked(frame: pd.DataFrame) -> pd.DataFrame:
     across = side[0] >= 0
     tree = np.arange(len(sets))
     marked = np.zeros(len(unique), bool)
+    groups = [np.asarray(x, np.int64) for x in frame["leaders"]]
+    own = np.concatenate(groups) < leader
+    lead_of = np.repeat(np.arange(len(sets)), [len(x) for x in groups])[own]
+    others, lead = np.unique(np.concatenate(groups)[own], return_inverse=True)
+    lead_follow = sizes[lead_of] - np.concatenate([np.asarray(x, np.int64) for x in frame["places"]])[own]
+    lead_ends, mine_follow = np.searchsorted(lead_of, np.arange(len(sets) + 1)), np.zeros(len(others), np.int64)
+    texts = frame["text"].tolist()
     for i in range(len(sets) - 1):
         longest = int(np.searchsorted(sizes, 100 * sizes[i] // PERCENT, "right"))
         other = np.arange(i + 1, max(i + 1, longest))
@@ -217,6 +230,13 @@ def _linked(frame: pd.DataFrame) -> pd.DataFrame:
         able = (tree[other] != tree[i]) & ((100 + PERCENT) * np.minimum(follow[other], follow[i]) >= least)
         if across:
             able &= side[other] != side[i]
+        if ids[i] != leader and lead_ends[i] < lead_ends[i + 1]:
+            mine = slice(lead_ends[i], lead_ends[i + 1])
+            mine_follow[lead[mine]] = lead_follow[mine]
+            passes = (100 + PERCENT) * np.minimum(lead_follow, mine_follow[lead]) >= PERCENT * (sizes[lead_of] + sizes[i])
+            mine_follow[lead[mine]] = 0
+            elsewhere = np.bincount(lead_of[passes], minlength=len(sets)) > 0
+            able &= ~elsewhere[other] | (ids[other] == leader)
         other, least = other[able], least[able]
         other = other[(100 + PERCENT) * np.minimum(counts[other], counts[i]).sum(axis=1) >= least]
         if not len(other):
@@ -228,10 +248,13 @@ def _linked(frame: pd.DataFrame) -> pd.DataFrame:
             rest = slice(ends[other[0]], ends[other[-1] + 1])
             both = np.bincount(owner[rest][marked[back[rest]]], minlength=len(sets))[other]
         marked[back[ends[i] : ends[i + 1]]] = False
-        linked = other[100 * both >= PERCENT * (sizes[other] + sizes[i] - both)]
-        if len(linked):
-            joined = np.unique(tree[np.append(linked, i)])
-            tree[np.isin(tree, joined)] = joined[0]
+        mine = None
+        for j in other[100 * both >= PERCENT * (sizes[other] + sizes[i] - both)].tolist():
+            if tree[j] != tree[i]:
+                mine = mine if mine is not None else shingle_strings(texts[i])
+                if _link(mine, shingle_strings(texts[j])):
+                    a, b = sorted((tree[i], tree[j]))
+                    tree[tree == b] = a
     apart = tree != np.arange(len(sets))
     out = pd.DataFrame({"kind": 0, "leader": leader, "u": ids[apart], "v": ids[tree[apart]]})
     if several and not across:
@@ -241,6 +264,11 @@ def _linked(frame: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def _link(a: set[bytes], b: set[bytes]) -> bool:
+    both = len(a & b)
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
 def _packed_documents(docs: DataFrame, shards: int, many_docs: int) -> DataFrame:
     packed = docs.mapInPandas(_emitted(shards, many_docs), _PACKED)
     counted = packed.groupBy("key").applyInPandas(lambda frame: _counted(frame, many_docs), _PACKED)
@@ -248,52 +276,56 @@ def _packed_documents(docs: DataFrame, shards: int, many_docs: int) -> DataFrame
 
 
 def _copies(own: DataFrame, ranges: int) -> DataFrame:
-    """(u, v): documents whose set another one with a smaller id has, and the smallest such id.
-
-    Sets of more than a share of all documents, at most ranges * HOT_SHARE of them, are joined by broadcast.
-    """
+    """(u, v): documents whose set another one with a smaller id has, and the smallest such id."""
     key = ["n", "x", "y"]
     own = own.where("n > 0")
     classes = own.groupBy(*key).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     classes = checkpointed(classes.where("copies > 1"))
-    share = own.count() // (ranges * HOT_SHARE)
-    hot, cold = classes.where(F.col("copies") > share), classes.where(F.col("copies") <= share)
-    found = own.join(F.broadcast(hot), key).unionByName(own.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key))
+    found = joined_by_share(own, classes, key, "copies", hot_share(own.count(), ranges))
     return found.where(F.col("doc_id") != F.col("first_id")).select(F.col("doc_id").alias("u"), F.col("first_id").alias("v"))
 
 
-def _members(entries: DataFrame) -> DataFrame:
+def _members(entries: DataFrame, ranges: int) -> DataFrame:
     """(leader, doc_id, place) of groups of two and more; place is the first position of an entry that led there."""
     rank = F.struct((F.col("u") / F.col("n")).alias("own"), "doc_id")
     leaders = entries.groupBy("x").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > 1)
-    leaders = leaders.select("x", F.col("first.doc_id").alias("leader"))
-    return checkpointed(entries.select("x", "doc_id", "y").join(leaders, "x").groupBy("leader", "doc_id").agg(F.min("y").alias("place")))
+    leaders = checkpointed(leaders.select("x", F.col("first.doc_id").alias("leader"), "n_docs"))
+    entries = entries.select("x", "doc_id", "y")
+    share = hot_share(leaders.agg(F.sum("n_docs")).first()[0] or 0, ranges)
+    return checkpointed(joined_by_share(entries, leaders, ["x"], "n_docs", share).groupBy("leader", "doc_id").agg(F.min("y").alias("place")))
 
 
-def _links(docs: DataFrame, members: DataFrame, block: int) -> DataFrame:
+def _links(docs: DataFrame, members: DataFrame, block: int, ranges: int) -> DataFrame:
     """Verified links (u, v), as spanning forests."""
     spark = docs.sparkSession
-    wanted = checkpointed(members.select("doc_id").distinct())
-    maybe = probe(build(wanted.select(F.xxhash64("doc_id")), wanted.count()), spark)
-    texts = docs.where(maybe(F.xxhash64("doc_id")))
-    groups = checkpointed(members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
+    by_doc = members.groupBy("doc_id").agg(F.collect_list(F.struct("leader", "place")).alias("all"))  # a prefix bounds them
+    by_doc = checkpointed(by_doc.select("doc_id", F.col("all.leader").alias("leaders"), F.col("all.place").alias("places")))
+    maybe = probe(build(by_doc.select(F.xxhash64("doc_id")), by_doc.count()), spark)
+    texts = docs.where(maybe(F.xxhash64("doc_id"))).join(by_doc, "doc_id")
+    groups = checkpointed(members.groupBy("leader").agg(F.count(F.lit(1)).alias("size")))
+    n_members = groups.agg(F.sum("size")).first()[0] or 0
+    share, tasks = hot_share(n_members, ranges), min(max(ranges, n_members // TASK_MEMBERS), 50 * ranges)
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    placed = members.join(groups, "leader").withColumn("own", own)
+    blocks = groups.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    placed = joined_by_share(members, blocks, ["leader"], "size", share).drop("size").withColumn("own", own)
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
+
+    def compared(chosen: DataFrame) -> DataFrame:
+        rows = texts.join(chosen, "doc_id").repartition(tasks, "leader", "i", "j")  # by number: bytes don't tell the work
+        return checkpointed(rows.groupBy("leader", "i", "j").applyInPandas(_linked, _FOREST))
+
     first = placed.withColumn("j", F.explode(F.when(F.col("doc_id") == F.col("leader"), every).otherwise(F.array("own"))))
-    first = first.select("leader", "doc_id", "place", "blocks", F.lit(-1).alias("side"), F.lit(0).alias("i"), "j")
-    found = checkpointed(texts.join(first, "doc_id").groupBy("leader", "i", "j").applyInPandas(_linked, _FOREST))
+    found = compared(first.select("leader", "doc_id", "place", "blocks", F.lit(-1).alias("side"), F.lit(0).alias("i"), "j"))
     links = found.where("kind = 0").select("u", "v")
-    loose = found.where("kind = 1").select("leader", F.col("u").alias("doc_id")).distinct()
+    loose = checkpointed(found.where("kind = 1").select("leader", F.col("u").alias("doc_id")).distinct())
     if loose.isEmpty():
         return links
-    parts = checkpointed(loose.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")))
-    both = placed.join(parts, "leader")
+    parts = loose.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")).join(groups, "leader")
+    both = joined_by_share(placed, checkpointed(parts), ["leader"], "size", share).drop("size")
     part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
     one = both.join(loose, ["leader", "doc_id"], "left_semi").select("leader", "doc_id", "place", "blocks", F.lit(0).alias("side"), part.alias("i"), F.explode(every).alias("j"))
     other = both.select("leader", "doc_id", "place", "blocks", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("own").alias("j"))
-    more = texts.join(one.unionByName(other), "doc_id").groupBy("leader", "i", "j").applyInPandas(_linked, _FOREST)
-    return links.union(more.select("u", "v"))
+    return links.union(compared(one.unionByName(other)).select("u", "v"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", many_docs: int = MANY, block: int = BLOCK) -> DataFrame:
@@ -309,16 +341,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = rows.where(F.col("doc_id").isNotNull())
-    ordered = checkpointed(_packed_documents(known, 2 * shuffle_partitions(docs.sparkSession), many_docs))
+    about = survey(known)
+    if about.repeats:
+        own, names = numbered(known)
+        first = names.groupBy("doc_id").agg(F.min("own").alias("v"))
+        same = names.join(first, "doc_id").where(F.col("own") != F.col("v")).select(F.col("own").alias("u"), "v")
+        found = _components(own.select(F.col("own").alias("doc_id"), "text"), about.n_bytes, many_docs, block, same)
+        found = found.withColumnRenamed("doc_id", "own").join(names, "own")
+        roots = names.select(F.col("own").alias("component_id"), F.col("doc_id").alias("root_id"))
+        parts = found.join(roots, "component_id").select("doc_id", "n_shingles", F.col("root_id").alias("component_id"))
+    else:
+        parts = _components(known, about.n_bytes, many_docs, block)
+    lost = rows.where(F.col("doc_id").isNull()).mapInPandas(_sizes, "n_shingles long")
+    return parts.union(lost.select(F.lit(None).cast("long"), "n_shingles", F.lit(None).cast("long")))
+
+
+def _components(known: DataFrame, n_bytes: int, many_docs: int, block: int, more: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of rows whose id has one text; more: links from elsewhere."""
+    ranges = shuffle_partitions(known.sparkSession)
+    shards = max(2 * ranges, n_bytes // SHINGLE_RANGE)
+    ordered = checkpointed(_packed_documents(known, shards, many_docs))
     own = ordered.where("kind = 0").select("doc_id", "n", "x", "y")
-    copies = checkpointed(_copies(own, shuffle_partitions(docs.sparkSession)))
+    copies = checkpointed(_copies(own, ranges))
     entries = ordered.where("kind = 1").join(copies.select(F.col("u").alias("doc_id")), "doc_id", "left_anti")
-    members = _members(entries)
-    found = connected(_links(known, members, block).union(copies))
+    links = _links(known, _members(entries, ranges), block, ranges).union(copies)
+    found = connected(links.union(more) if more is not None else links)
     parts = own.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("node"), "left")
-    parts = parts.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    lost = rows.where(F.col("doc_id").isNull()).mapInPandas(_sizes, "n_shingles long")
-    return parts.union(lost.select(F.lit(None).cast("long"), "n_shingles", F.lit(None).cast("long")))
+    return parts.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def _sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -327,6 +376,10 @@ def _sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows that stay, with all their columns: of each component the document with the smallest id."""
+    """The input rows that stay, with all their columns: of each component the document with the smallest id.
+
+    Texts without words, null ones too, are components of their own and stay, as do null ids and all rows that repeat
+    the id that stays. Column names may be any; an empty table gives an empty result.
+    """
     found = jaccard_components(docs, id_col, text_col)
     return without(docs, id_col, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))

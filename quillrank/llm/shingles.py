@@ -36,6 +36,14 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(mixed(total))
 
 
+def shingle_strings(text: str) -> set[bytes]:
+    """The shingles themselves."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if len(words) < WORDS:
+        return {b" ".join(words)} if words else set()
+    return set(map(b" ".join, zip(*(words[i:] for i in range(WORDS)))))
+
+
 def fingerprint(found: np.ndarray) -> tuple[int, int]:
     """128 bits, as two signed longs, that equal sets share."""
     both = np.array([found.sum(dtype=np.uint64), mixed(found ^ _ODD[0]).sum(dtype=np.uint64)], np.uint64)

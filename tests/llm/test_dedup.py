@@ -224,6 +224,27 @@ def test_jaccard_components(spark, seed):
     assert {r["doc_id"] for r in whole(left)} == {c for _, _, c in brute_components(rows)} | {None}
 
 
+def test_jaccard_ids_with_other_texts(spark):
+    """Rows that repeat an id are one node, whatever their texts are."""
+    rng = random.Random(3)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    near = " ".join([*a.split()[:-1], "zz"])
+    rows = [(5, a), (5, b), (3, b), (7, near), (9, c), (9, ""), (9, None), (11, f"{c} y"), (2, "other words")]
+    found = whole(ngram_jaccard.jaccard_components(table(spark, rows)))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute_components(rows)
+    assert {r["component_id"] for r in found if r["doc_id"] in (3, 5, 7)} == {3}
+
+
+def test_jaccard_groups_that_are_no_families(spark):
+    """Many documents that share prefix shingles but mostly don't link, and pairs that share several leaders."""
+    rng = random.Random(5)
+    common = [prose(rng, 12) for _ in range(6)]
+    rows = [(i, " ".join(rng.sample(common, 3) + [prose(rng, rng.randint(0, 9))])) for i in range(120)]
+    for block in (1500, 15):
+        found = whole(ngram_jaccard.jaccard_components(table(spark, rows), many_docs=8, block=block))
+        assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute_components(rows)
+
+
 def test_connected(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1200)]
