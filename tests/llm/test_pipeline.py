@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillrank.llm import oracles, quality_rules, secret_scan
@@ -52,6 +53,30 @@ def test_run_equals_a_plain_version(spark, sf_dir):
     check_packed(rows, whole(corpus_pipeline.run(spark, sf_dir)), 2048, lambda t: [*tokenizer.encode(t, add_special_tokens=False).ids, 0])
 
 
+def test_run_goes_on_where_it_broke_off(spark, sf_dir, tmp_path, monkeypatch):
+    """The third stage fails once; the next run doesn't repeat the first two, and leaves no copies."""
+    calls, stages = Counter(), list(corpus_pipeline.STAGES)
+
+    def counted(name, stage):
+        def run(spark, docs, sf_dir):
+            calls[name] += 1
+            if name == "ngram_jaccard" and calls[name] == 1:
+                raise RuntimeError("lost")
+            return stage(spark, docs, sf_dir)
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, counted(n, f)) for n, f in stages])
+    folder = tmp_path / "copies"
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, sf_dir, str(folder))
+    assert [p.name for p in folder.iterdir()] == ["exact_dedup"]
+    found = corpus_pipeline.run(spark, sf_dir, str(folder)).count()
+    assert not folder.exists() and calls == {n: 1 + (n == "ngram_jaccard") for n, _ in stages}
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    assert corpus_pipeline.run(spark, sf_dir).count() == found
+
+
 def test_stages_keep_the_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
@@ -60,10 +85,22 @@ def test_stages_keep_the_columns(spark, sf_dir):
 
 
 def test_stages_on_awkward_rows(spark, sf_dir):
-    docs = table(spark, [(None, None), (1, ""), (1, ""), (2, "a b c d e f " * 20), (3, None)])
-    for _, stage in corpus_pipeline.STAGES:
-        stage(spark, docs, sf_dir).collect()
+    """Nulls, empties, ties, repeated rows, a very long text and columns whose names operators use inside."""
+    long_ = " ".join(f"w{i % 997}x{i % 89}" for i in range(150_000))
+    rows = [(None, None), (1, ""), (1, ""), (2, "a b c d e f " * 20), (3, None), (4, long_), (5, long_ + " end"), (5, "other text"), (6, long_.replace(" ", "\n", 9))]
+    docs = table(spark, rows)
+    for name in ("row", "id", "doc", "salt", "marks", "once", "spans", "parts", "text_sha256", "own_id", "_marks", "_blob"):
+        docs = docs.withColumn(name, F.lit("x"))
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        left[name] = sorted((r["doc_id"] or 0) for r in out.collect())
+        assert name == "best_fit_packing" or out.columns == docs.columns
         stage(spark, docs.limit(0), sf_dir).collect()
+    assert left["quality_rules"] == [4, 5, 6] or set(left["quality_rules"]) <= {4, 5, 6}
+    assert left["exact_dedup"] in ([0, 2, 4, 5, 5], [1, 2, 4, 5, 5])  # 6 is 4 but for blanks, and of all empty texts one stays
+    assert left["ngram_jaccard"] == [0, 1, 1, 2, 3, 4]  # 5 and 6 are near 4, so both rows of 5 go
+    assert left["secret_scan"] == [0, 1, 1, 2, 3, 4, 5, 5, 6]
 
 
 def test_clean_documents_stay(spark, sf_dir):
