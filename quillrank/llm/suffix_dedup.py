@@ -380,7 +380,8 @@ def _stretched(shards: int):
         for group in np.split(by, at[1:]) if len(by) else ():
             own = [kept[k] for k in group.tolist()]
             sizes = np.array([len(held[i][3]) for i in own], np.int64)
-            rows.append((int(shard[group[0]]), _STRETCHES, b"".join(held[i][3] for i in own), _planes(sizes), _planes(doc[own]), _planes(start[own]), b""))
+            body = pa.compress(b"".join(held[i][3] for i in own), "zstd", asbytes=True)  # the shuffle's own codec leaves half as much again
+            rows.append((int(shard[group[0]]), _STRETCHES, body, _planes(sizes), _planes(doc[own]), _planes(start[own]), b""))
         return _rows(rows)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -571,9 +572,10 @@ def _portions(frame: pd.DataFrame, array: int) -> Iterator[tuple[bytes, np.ndarr
     for row in frame.itertuples():
         sizes, docs, starts = (_whole(x) for x in (row.b, row.c, row.d))
         end = np.cumsum(sizes)
+        body = pa.decompress(row.a, int(end[-1]), "zstd", asbytes=True)
         cut = [0, *(np.flatnonzero(np.diff(end // array)) + 1).tolist(), len(sizes)]
         for i, j in zip(cut, cut[1:]):
-            yield row.a[end[i] - sizes[i] : end[j - 1]], sizes[i:j], docs[i:j], starts[i:j]
+            yield body[end[i] - sizes[i] : end[j - 1]], sizes[i:j], docs[i:j], starts[i:j]
 
 
 def _matched(array: int):
