@@ -9,6 +9,7 @@ import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ STOPWORDS = (
     "their", "time", "if",
 )
 DEFAULT_PATTERN = r"\b\w+\b"
+#: What `\w` takes in Python: letters, numbers and the underscore; no marks or joiners. A run of these is a match of the default pattern.
+WORD_CHARACTERS = r"\p{L}\p{N}_"
 _JUST_SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 
 
@@ -57,9 +60,21 @@ class WhitespaceTokenizer:
         return (text.lower() if self.lowercase else text).split()
 
 
+def _found_by_python(pattern: str, lowercase: bool):
+    @F.pandas_udf("array<string>")
+    def tokens(texts: pd.Series) -> pd.Series:
+        found = re.compile(pattern).findall
+        return texts.map(lambda t: None if t is None else [x.lower() for x in found(t)] if lowercase else found(t))
+
+    return tokens
+
+
 @dataclass(frozen=True)
 class RegexTokenizer:
-    """All matches of a pattern, or of its only group, then lower-cased. Classes like `\\w` are Unicode ones."""
+    """All matches of a pattern, or of its only group, then lower-cased, as re.findall gives them.
+
+    The default pattern is an expression; other patterns, whose dialect the JVM doesn't share, run in Python on Arrow batches.
+    """
 
     pattern: str = DEFAULT_PATTERN
     lowercase: bool = True
@@ -69,8 +84,10 @@ class RegexTokenizer:
             raise ValueError("A tokenizer pattern can have one group at most")
 
     def column(self, text: Column) -> Column:
-        found = F.regexp_extract_all(text, F.lit(f"(?U){self.pattern}"), F.lit(re.compile(self.pattern).groups))
-        return F.transform(found, F.lower) if self.lowercase else found
+        if self.pattern == DEFAULT_PATTERN:
+            found = F.regexp_extract_all(text, F.lit(f"[{WORD_CHARACTERS}]+"), F.lit(0))
+            return F.transform(found, F.lower) if self.lowercase else found
+        return _found_by_python(self.pattern, self.lowercase)(text)
 
     def __call__(self, text: str) -> list[str]:
         found = re.findall(self.pattern, text)

@@ -8,7 +8,9 @@ TEXTS = [
     "", " ", "The quick, brown fox jumps over the lazy dog!", "a-b c_d e.f", "Éa è　ß x", "x\x1cy z", "ΑΣ İstanbul", "  lead and trail  ",
     "tab\tnew\nline\r\x0b\x0cend", "42 is 42", "“quoted” …", "a\x85b c", "don't stop",
 ]
-ALL = [DefaultTokenizer(), WhitespaceTokenizer(), WhitespaceTokenizer(False), RegexTokenizer(), RegexTokenizer(r"(\w)\w*", False), text_tokenizer(), SimpleTokenizer(remove_stopwords=True), TextTokenizer(False, False)]
+#: Combining marks, joiners, Indic vowel signs, numbers that are no digits, and what Java and Python class differently.
+TEXTS += ["e\u0301cole E\u0301cole", "a\u200db \u200c c\u200cd", "\u0915\u094d\u0937\u093f \u0928\u092e\u0938\u094d\u0924\u0947", "x\u00b2 \u2460 \u216b \u0663\u0664", "\u203f a\u203fb _a_", "\u00aa\u00ba \u2107", "\U0001d400 \U0001f600a"]
+ALL = [DefaultTokenizer(), WhitespaceTokenizer(), WhitespaceTokenizer(False), RegexTokenizer(), RegexTokenizer(r"(\w)\w*", False), RegexTokenizer(r"(?P<x>[^\W\d]+)-?\b"), RegexTokenizer(r"\S+\s"), text_tokenizer(), SimpleTokenizer(remove_stopwords=True), TextTokenizer(False, False)]
 
 
 @pytest.mark.parametrize("tokenizer", ALL, ids=repr)
