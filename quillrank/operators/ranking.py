@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from quillrank.functions.weights import Variant, term_score
 from quillrank.operators.index import Index
 
+#: Terms of queries, all together, up to which they are broadcast: at some 100 bytes each, 20 MB.
+MOST_BROADCAST = 200_000
 #: Distinct terms up to which a single query is an aggregate for each term; longer queries are joined as a table.
 MOST_COLUMNS = 24
 
@@ -40,8 +42,14 @@ def term_weights(index: Index, variant: Variant, terms: Sequence[str]) -> dict[s
 
 
 def prepared_table(index: Index, variant: Variant, queries: DataFrame) -> DataFrame:
-    """(query_id, pos, term, idf) of queries (query_id, pos, term); terms outside the vocabulary drop out."""
-    return queries.join(index.weighted(variant).select("term", "idf"), "term").select("query_id", "pos", "term", "idf")
+    """(query_id, pos, term, idf) of queries (query_id, pos, term); terms outside the vocabulary drop out.
+
+    Queries of a checked size are marked for broadcast, here to the terms and then to the postings; more are shuffled.
+    """
+    weights, columns = index.weighted(variant).select("term", "idf"), ["query_id", "pos", "term", "idf"]
+    if queries.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
+        return queries.join(weights, "term").select(*columns)
+    return F.broadcast(F.broadcast(queries).join(weights, "term").select(*columns))
 
 
 def candidates(index: Index, variant: Variant, query: PreparedQuery, doc_ids: DataFrame | None = None) -> DataFrame:
@@ -73,25 +81,17 @@ def _nothing(index: Index) -> DataFrame:
     return index.docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
 
 
-#: Units of a fixed-point score, for sums whose order doesn't matter.
-_UNIT = float(1 << 40)
-
-
-def batch_candidates(index: Index, variant: Variant, prepared: DataFrame, doc_ids: DataFrame | None = None, exact: bool = True) -> DataFrame:
-    """(query_id, doc_id, score) for all queries in one job.
+def batch_candidates(index: Index, variant: Variant, prepared: DataFrame, doc_ids: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score) for all queries in one job. Scores add up in the order of each query.
 
-    exact: scores add up in the order of each query. Otherwise they are sums of fixed-point numbers with 40 binary
-    places: still the same for every partitioning, and equal for equal documents, within 1e-11 of the exact ones, and
-    combined before the shuffle.
+    Where the postings are dealt by document and the queries are broadcast, no hit is shuffled: a document's sums are
+    made in the partition that holds it.
     """
     postings = index.postings
     if doc_ids is not None:
         postings = postings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
     hits = postings.join(prepared, "term")
     hits = hits.select("query_id", "doc_id", "pos", term_score(variant, F.col("idf"), F.col("tf"), F.col("dl"), index.avgdl).alias("x"))
-    if not exact:
-        total = F.sum(F.round(F.col("x") * _UNIT).cast("long")).cast("double") / _UNIT
-        return hits.groupBy("query_id", "doc_id").agg(total.alias("score"))
     # a running sum adds in the order of the window; the last row of a group has it all
     in_order = Window.partitionBy("query_id", "doc_id").orderBy("pos")
     running = F.sum("x").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -163,10 +163,10 @@ def top_n(index: Index, variant: Variant, query: PreparedQuery, n: int = 5) -> D
     return _ranked(both, n)
 
 
-def batch_top_n(index: Index, variant: Variant, prepared: DataFrame, n: int = 5, exact: bool = True) -> DataFrame:
-    """(query_id, rank, doc_id, score) of the candidates of each query. The limit is applied before the shuffle too."""
+def batch_top_n(index: Index, variant: Variant, prepared: DataFrame, n: int = 5) -> DataFrame:
+    """(query_id, rank, doc_id, score) of the candidates of each query. Of a partition, n rows a query are shuffled."""
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    found = batch_candidates(index, variant, prepared, exact=exact).withColumn("rank", F.row_number().over(by_query))
+    found = batch_candidates(index, variant, prepared).withColumn("rank", F.row_number().over(by_query))
     return found.where(F.col("rank") <= n).select("query_id", "rank", "doc_id", "score")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillrank.functions.weights import Long, Okapi, Plus, Variant
 from quillrank.operators import ranking
 from quillrank.operators.index import Index, build_index, load_index, save_index
-from quillrank.sources.corpus import FAILED, NOT_TOKENS, of_texts, of_tokens, spread, tokens_of
+from quillrank.sources.corpus import FAILED, NOT_TOKENS, by_document, of_texts, of_tokens, tokens_of
 
 
 #: Terms whose weights a model remembers.
@@ -59,6 +59,8 @@ def _count(n: int | None, default: int = 5) -> int:
 class Model:
     """Common to the variants. doc_id is the position in a list, or the column doc_id of a DataFrame."""
 
+    variant_type: type[Variant]
+
     def __init__(self, variant: Variant, corpus, tokenizer, tokenized_corpus, spark: SparkSession | None):
         if corpus is not None and tokenized_corpus is not None:
             raise ValueError("Provide either corpus or tokenized_corpus, not both.")
@@ -75,12 +77,12 @@ class Model:
 
     def _tokens(self, corpus, tokenized_corpus) -> DataFrame:
         if corpus is None:
-            return tokenized_corpus if isinstance(tokenized_corpus, DataFrame) else of_tokens(self.spark, tokenized_corpus)
+            return by_document(tokenized_corpus if isinstance(tokenized_corpus, DataFrame) else of_tokens(self.spark, tokenized_corpus))
         if not isinstance(corpus, DataFrame):
             corpus = of_texts(self.spark, corpus)
         elif not corpus.where(F.col("text").isNull()).isEmpty():
             raise ValueError("Documents must not be null.")
-        return tokens_of(spread(corpus), self.tokenizer)
+        return tokens_of(by_document(corpus), self.tokenizer)
 
     def _built(self, tokens: DataFrame) -> Index:
         """Built at once, so that a tokenizer's errors come from the constructor."""
@@ -184,13 +186,13 @@ class Model:
         table = queries if isinstance(queries, DataFrame) else self.query_table(queries)
         return ranking.prepared_table(self.index, self.variant, table)
 
-    def batch_scores(self, queries: Sequence[Sequence[str]] | DataFrame, exact: bool = True) -> DataFrame:
+    def batch_scores(self, queries: Sequence[Sequence[str]] | DataFrame) -> DataFrame:
         """(query_id, doc_id, score) of documents that share a term with the query, for all queries in one job."""
-        return ranking.batch_candidates(self.index, self.variant, self.prepared_table(queries), exact=exact)
+        return ranking.batch_candidates(self.index, self.variant, self.prepared_table(queries))
 
-    def batch_top_n(self, queries: Sequence[Sequence[str]] | DataFrame, n: int = 5, exact: bool = True) -> DataFrame:
-        """(query_id, rank, doc_id, score) for all queries in one job; candidates only. exact: see ranking.batch_candidates."""
-        return ranking.batch_top_n(self.index, self.variant, self.prepared_table(queries), n, exact)
+    def batch_top_n(self, queries: Sequence[Sequence[str]] | DataFrame, n: int = 5) -> DataFrame:
+        """(query_id, rank, doc_id, score) for all queries in one job; candidates only."""
+        return ranking.batch_top_n(self.index, self.variant, self.prepared_table(queries), n)
 
     def get_scores_batch(self, queries: Sequence[Sequence[str]]) -> list[list[float]]:
         """Scores of every document for each query."""
@@ -203,18 +205,31 @@ class Model:
         return out.tolist()
 
     def save(self, path: str) -> None:
+        """The index, and which variant with which parameters it was built for, as tables under path."""
         save_index(self.index, path)
-
-    def load_from(self, path: str) -> None:
-        """Takes a saved index in place of its own."""
-        self.index.unpersist()
-        self.index, self._weights = load_index(self.spark, path), {}
+        params = sorted((k, float(v)) for k, v in vars(self.variant).items())
+        about = self.spark.createDataFrame([(type(self).__name__, self.dense, params)], "model string, dense boolean, params array<struct<name:string,value:double>>")
+        about.coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, tokenizer=None) -> Model:
+        """A model on a saved index, without building one: of the same class, with its parameters."""
+        about = spark.read.parquet(f"{path}/model").first()
+        if about["model"] != cls.__name__:
+            raise ValueError(f"{path} holds a {about['model']}, not a {cls.__name__}")
+        model = cls.__new__(cls)
+        model.variant = cls.variant_type(**{p["name"]: p["value"] for p in about["params"]})
+        model.tokenizer, model.dense, model.spark = tokenizer, about["dense"], spark
+        model.index, model._weights = load_index(spark, path), {}
+        return model
 
     def close(self) -> None:
         self.index.unpersist()
 
 
 class BM25Okapi(Model):
+    variant_type = Okapi
+
     def __init__(self, corpus=None, tokenizer=None, tokenized_corpus=None, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, *, spark: SparkSession | None = None):
         super().__init__(Okapi(k1, b, epsilon), corpus, tokenizer, tokenized_corpus, spark)
 
@@ -224,6 +239,8 @@ class BM25Okapi(Model):
 
 
 class BM25Plus(Model):
+    variant_type = Plus
+
     def __init__(self, corpus=None, tokenizer=None, tokenized_corpus=None, k1: float = 1.5, b: float = 0.75, delta: float = 1.0, *, spark: SparkSession | None = None):
         super().__init__(Plus(k1, b, delta), corpus, tokenizer, tokenized_corpus, spark)
 
@@ -233,6 +250,8 @@ class BM25Plus(Model):
 
 
 class BM25L(Model):
+    variant_type = Long
+
     def __init__(self, corpus=None, tokenizer=None, tokenized_corpus=None, k1: float = 1.5, b: float = 0.75, delta: float = 0.5, *, spark: SparkSession | None = None):
         super().__init__(Long(k1, b, delta), corpus, tokenizer, tokenized_corpus, spark)
 

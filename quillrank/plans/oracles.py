@@ -116,6 +116,7 @@ def oracle_sql() -> dict[str, str]:
         "batch_candidates": _with(VARIANTS["l"], _BENCH) + "SELECT query_id, doc_id, round(score, 6) AS score FROM hit",
         "top_n_text": _top(okapi, three, 5, "rank::INTEGER AS rank, text, round(score, 6) AS score", "JOIN documents USING (doc_id)"),
         "top_n_filler": _top(okapi, ("9541066823582205", "notaword0"), 20),
+        "top_n_rows": _top(okapi, ("9541066823582205", "notaword0"), 20),
         "top_n_oov": _top(okapi, ("notaword0",), 7),
         "top_n_negative": _top(Okapi(epsilon=-0.25), ("the",), 600),
     }

@@ -11,7 +11,7 @@ from quillrank.functions.tokenizers import DefaultTokenizer, RegexTokenizer, Sim
 from quillrank.functions.weights import VARIANTS, Okapi, Variant
 from quillrank.operators import index as ix
 from quillrank.operators import ranking
-from quillrank.sources.corpus import blank_documents, preprocess_corpus, spread, tokens_of
+from quillrank.sources.corpus import blank_documents, by_document, preprocess_corpus, spread, tokens_of
 
 #: Fixed values of the registered queries.
 QUERY = ("the", "of", "that")
@@ -27,7 +27,8 @@ _held: list[ix.Index] = []
 
 def _index(spark: SparkSession, sf_dir: str, tokenizer=None) -> ix.Index:
     """An index that is built once and kept until the next one: a query reads it several times."""
-    return _kept(ix.build_index(tokens_of(_documents(spark, sf_dir), tokenizer), persist=True))
+    docs = by_document(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return _kept(ix.build_index(tokens_of(docs, tokenizer), persist=True))
 
 
 def _kept(index: ix.Index) -> ix.Index:
@@ -157,6 +158,13 @@ def batch_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ranking.batch_candidates(index, variant, ranking.prepared_table(index, variant, _benchmark_terms(spark, sf_dir))))
 
 
+def top_n_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What get_top_n_indices returns in the driver: candidates and then fillers."""
+    index, variant = _index(spark, sf_dir), VARIANTS["okapi"]
+    best = ranking.top_n_rows(index, variant, ranking.prepare(index, variant, ("9541066823582205", "notaword0")), 20)
+    return _rounded(spark.createDataFrame([(k, i, x) for k, (i, x) in enumerate(best, 1)], "rank int, doc_id long, score double"))
+
+
 def top_n_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, variant = _index(spark, sf_dir), VARIANTS["okapi"]
     ranked = ranking.top_n(index, variant, ranking.prepare(index, variant, QUERY), 5)
@@ -185,6 +193,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         found |= {f"idf_{name}": _idf(variant), f"scores_{name}": _scores(variant, QUERY), f"top_n_indices_{name}": _best(variant)}
     own = (
         validate_corpus, doc_len, corpus_stats, postings, doc_freq, preprocess_query, scores_preprocessed, tokenized_corpus_scores,
-        custom_tokenizer_scores, batch_scores, scores_batch_queries, batch_candidates, top_n_text,
+        custom_tokenizer_scores, batch_scores, scores_batch_queries, batch_candidates, top_n_rows, top_n_text,
     )
     return found | {f.__name__: f for f in own}

@@ -34,6 +34,15 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
+def by_document(rows: DataFrame) -> DataFrame:
+    """Dealt by doc_id, one shuffle when an index is built: what is then computed for (query, document) needs none.
+
+    At least as many partitions as cores; a larger table keeps its number.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, rows.rdd.getNumPartitions()), "doc_id")
+
+
 def with_dense_ids(texts: DataFrame, order_by: str, text_col: str = "text") -> DataFrame:
     """(doc_id, text) of a table without ids: 0, 1, ... in the order of a column, numbered by partition, not in one task."""
     rows = texts.select(order_by, F.col(text_col).alias("text")).orderBy(order_by)

@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pytest
 
+from quillrank.operators import ranking
 from quillrank import BM25L, BM25Okapi, BM25Plus
 
 A = """the quick brown fox jumps over the lazy dog
@@ -134,13 +135,20 @@ def test_ways_agree(on_a):
         assert [(r["doc_id"], r["score"]) for r in ranked] == [x for x in top if x[1]]
 
 
-def test_fixed_point_batches(on_a):
+def test_batches_shuffle_only_the_best(on_a):
+    """Postings are dealt by document and queries are broadcast: what is shuffled has passed a limit for each query."""
     for model in on_a.values():
-        queries = [["to", "be"], ["the", "the", "fox"], ["is"]]
-        exact = {(r["query_id"], r["doc_id"]): r["score"] for r in model.batch_scores(queries).collect()}
-        fast = {(r["query_id"], r["doc_id"]): r["score"] for r in model.batch_scores(queries, exact=False).collect()}
-        assert exact.keys() == fast.keys() and all(abs(exact[k] - fast[k]) < 1e-10 for k in exact)
-        assert model.batch_top_n(queries, 3, exact=False).count() == model.batch_top_n(queries, 3).count()
+        plan = model.batch_top_n([["to", "be"], ["the", "the", "fox"], ["is"]], 3)._jdf.queryExecution().executedPlan().toString()
+        own = plan[: plan.index("InMemoryTableScan")]
+        assert own.count("Exchange hashpartitioning") == 1 and own.index("Exchange hashpartitioning(query_id") < own.index("row_number(), 3, Partial")
+        assert "BroadcastHashJoin" in own and "SortMergeJoin" not in own
+
+
+def test_queries_beyond_the_bound_are_shuffled(on_a, monkeypatch):
+    queries = [["to", "be"], ["the", "the", "fox"], ["is"]]
+    few = {name: sorted(map(tuple, model.batch_top_n(queries, 3).collect())) for name, model in on_a.items()}
+    monkeypatch.setattr(ranking, "MOST_BROADCAST", 2)
+    assert few == {name: sorted(map(tuple, model.batch_top_n(queries, 3).collect())) for name, model in on_a.items()}
 
 
 def test_table_and_row_forms_of_top_n_agree(on_a):
@@ -249,8 +257,23 @@ def test_table_corpus_with_sparse_ids(spark):
 
 def test_saved_index(on_a, spark, tmp_path):
     on_a["okapi"].save(str(tmp_path / "index"))
-    other = BM25Okapi(["x"], spark=spark)
-    other.load_from(str(tmp_path / "index"))
+    other = BM25Okapi.load(spark, str(tmp_path / "index"))
     assert other.get_scores(["the", "be"]) == on_a["okapi"].get_scores(["the", "be"])
     plan = other.index.postings.where("term in ('the', 'be')")._jdf.queryExecution().toString()
     assert "PushedFilters: [In(term" in plan
+    assert (other.corpus_size, other.k1, other.epsilon) == (on_a["okapi"].corpus_size, on_a["okapi"].k1, on_a["okapi"].epsilon)
+    with pytest.raises(ValueError, match="out of range"):
+        other.get_batch_scores(["the"], [other.corpus_size])
+    with pytest.raises(ValueError, match="BM25Okapi, not a BM25L"):
+        BM25L.load(spark, str(tmp_path / "index"))
+
+
+def test_saved_index_of_a_keyed_table(spark, tmp_path):
+    docs = spark.createDataFrame([(70, "a b"), (900, "b c c")], "doc_id long, text string")
+    BM25Plus(docs, k1=1.1, delta=0.3).save(str(tmp_path / "index"))
+    model = BM25Plus.load(spark, str(tmp_path / "index"))
+    assert (model.k1, model.b, model.delta) == (1.1, 0.75, 0.3)
+    assert [i for i, _ in model.get_top_n_indices(["c"], 2)] == [900, 70]
+    assert len(model.get_batch_scores(["b"], [900, 70])) == 2
+    with pytest.raises(ValueError, match="out of range"):
+        model.get_batch_scores(["b"], [1])
