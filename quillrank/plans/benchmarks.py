@@ -55,15 +55,15 @@ def benchmark_concurrent(model: Model, queries: Sequence[Sequence[str]], threads
     return {"threads": threads, "queries": len(queries), "seconds": seconds, "queries_per_second": len(queries) / seconds}
 
 
-#: Corpus sizes for building, and queries that are timed one by one.
-SIZES, SINGLE = (1_000, 5_000, 10_000, 25_000), 20
+#: Corpus sizes for building; threads, and queries of each, that run at the same time.
+SIZES, THREADS, OF_THREAD = (1_000, 5_000, 10_000, 25_000), 4, 250
 
 
 def benchmark_bm25(
     corpus_sizes: Sequence[int] = SIZES, query_corpus_size: int = 10_000, num_queries: int = 1000,
-    bm25_variants: Sequence[type[Model]] = (BM25Okapi, BM25Plus, BM25L), include_concurrent: bool = True, **params,
+    bm25_variants: Sequence[type[Model]] = (BM25Okapi, BM25Plus, BM25L), include_concurrent: bool = True, of_thread: int = OF_THREAD, **params,
 ) -> dict:
-    """Building, queries (some one by one, all in one job, on subsets) and concurrent queries, for each model's name."""
+    """Building, queries (all one by one, all in one job, on subsets) and concurrent queries, for each model's name."""
     out: dict[str, dict] = {"initialization": {}, "query_performance": {}, "concurrent_performance": {}}
     corpus = random_corpus(query_corpus_size, seed=42)
     words = sorted({w for text in corpus[:200] for w in text.split()})
@@ -74,12 +74,12 @@ def benchmark_bm25(
         built = model(corpus, **params)
         try:
             out["query_performance"][name] = {
-                "single": benchmark_queries(built, queries[:SINGLE]),
+                "single": benchmark_queries(built, queries),
                 "batch": benchmark_batch(built, queries),
                 "subset": benchmark_subset(built, queries[:3], [10, 100, 1000, 5000]),
             }
             if include_concurrent:
-                out["concurrent_performance"][name] = benchmark_concurrent(built, queries[:SINGLE])
+                out["concurrent_performance"][name] = benchmark_concurrent(built, [q.split() for q in random_queries(words, THREADS * of_thread, seed=8)], THREADS)
         finally:
             built.close()
     return out

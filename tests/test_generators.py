@@ -21,10 +21,10 @@ def test_documents_on_executors(spark):
 
 
 def test_suite(spark):
-    found = benchmark_bm25([50], 60, 20, [BM25Plus], delta=0.5)
-    assert found["query_performance"]["BM25Plus"]["batch"]["queries"] == 20
+    found = benchmark_bm25([50], 60, 5, [BM25Plus], of_thread=2, delta=0.5)
+    assert found["query_performance"]["BM25Plus"]["batch"]["queries"] == 5 == found["query_performance"]["BM25Plus"]["single"]["queries"]
     assert found["initialization"]["BM25Plus"][0]["docs"] == 50
-    assert found["concurrent_performance"]["BM25Plus"]["threads"] == 4
+    assert found["concurrent_performance"]["BM25Plus"]["threads"] == 4 and found["concurrent_performance"]["BM25Plus"]["queries"] == 8
 
 
 def test_seeds_give_the_same_words_as_the_module_generator():
