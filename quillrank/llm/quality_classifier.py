@@ -1,8 +1,8 @@
 """Quality classifier: Bradley-Terry scores from preference pairs, thresholded by a quantile of the scores.
 
-A document's strength is linear in its features: standardised statistics, their squares, and shares of hashed
-character pairs. Pairs prefer a document labelled 1 over one labelled 0; the weights minimise the logistic loss of the
-differences of their features (with ridge), by Newton's method. The threshold is the quantile of the training scores
+A document's strength is linear in its features: 16 statistics of the whole text, standardised, and two hinges of each
+(what it exceeds +0.5 by, and what it falls short of -0.5 by). Pairs prefer a document labelled 1 over one labelled 0;
+the weights minimise the logistic loss of the differences of their features (with ridge), by Newton's method. The threshold is the quantile of the training scores
 at the share of label 0 that leaves the fewest errors; a score is the logistic of the distance from it, moved so that
 the threshold scores 0.3.
 """
@@ -35,7 +35,7 @@ def held_out() -> F.Column:
 
 
 def vector(text: str) -> np.ndarray:
-    """Statistics of a whole text, and squares of those that are shares."""
+    """Statistics of a whole text."""
     return np.array(features(text, *counts(text)))
 
 

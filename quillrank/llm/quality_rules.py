@@ -88,7 +88,11 @@ def quality_rules(docs: DataFrame, trees: Trees, least: float = LEAST_PROBABILIT
 
 
 def keep_good(docs: DataFrame, trees: Trees, least: float = LEAST_PROBABILITY, text_col: str = "text") -> DataFrame:
-    """The input rows that are kept, with all their columns."""
+    """The input rows that are kept, with all their columns.
+
+    Null and empty texts have no words and go. Repeated rows fare alike, null ids play no part; column names may be any;
+    an empty table gives an empty result.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 

@@ -87,6 +87,50 @@ def test_classifier(spark, labelled):
     assert len(scored) == len(rows) and all(r["score"] is not None for r in scored)
 
 
+def test_classifier_is_the_plain_logistic_fit():
+    """Weights against a plain descent on the same pairs, scores against the formulas written out row by row."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 2))
+    y = (x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=300) > 0).astype(int)
+    model = quality_classifier.fit_pairs(x, y)
+    draw = np.random.default_rng(quality_classifier.SEED)
+    z = np.array([[f for part in (lambda t: t, lambda t: max(t - 0.5, 0), lambda t: max(-0.5 - t, 0)) for f in map(part, np.clip((row - x.mean(0)) / x.std(0), -6, 6))] for row in x])
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    diffs = z[draw.choice(good, quality_classifier.MOST_PAIRS)] - z[draw.choice(bad, quality_classifier.MOST_PAIRS)]
+    w, before = np.zeros(6), np.zeros(6)
+    steepest = len(diffs) / 4 * np.linalg.eigvalsh(diffs.T @ diffs / len(diffs)).max() + 3.0
+    for k in range(3000):  # accelerated descent; the loss is convex: sum of log(1 + exp(-d.w)) + 3 |w|^2 / 2
+        at = w + k / (k + 3) * (w - before)
+        w, before = at - (3.0 * at - diffs.T @ (1 / (1 + np.exp(diffs @ at)))) / steepest, w
+    assert np.allclose(model.weights, w, atol=2e-3)
+    strengths = z @ model.weights
+    assert np.allclose(model.strength(x), strengths)
+    scores = [1 / (1 + np.exp(-(model.slope * (s - model.cut) + np.log(0.3 / 0.7)))) for s in strengths]
+    assert np.allclose(model.score(x), scores) and ((model.score(x) >= 0.3) == (strengths >= model.cut)).all()
+    errors = lambda cut: int(((strengths >= cut) != (y == 1)).sum())
+    assert errors(model.cut) == min(errors(c) for c in [*strengths, strengths.max() + 1])
+
+
+def test_verdicts_equal_a_walk_through_each_tree(labelled, spark):
+    docs, labels, _ = labelled
+    trees = quality_rules.fit(docs, labels)
+
+    def probability(row):
+        total = trees.bias
+        for node in trees.roots.tolist():
+            while trees.feature[node] >= 0:
+                node = trees.left[node] if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node]
+            total += trees.value[node]
+        return 1 / (1 + np.exp(-total))
+
+    texts = [t or "" for _, t in awkward()] + [t for _, t in samples(random.Random(7), 60)[0]]
+    want = [probability(features(t, *counts(t))) for t in texts]
+    found = quality_rules.verdicts(texts, trees)
+    assert np.allclose(found["probability"], want)
+    plain = [not (len(WORD.findall(t)) < 50 or 100 * brute_counts(t)[4] > 50 * len(WORD.findall(t))) and p >= 0.3 for t, p in zip(texts, want, strict=True)]
+    assert found["kept"].tolist() == plain and 0 < sum(plain) < len(plain)
+
+
 def test_classifier_never_sees_held_out_labels(labelled):
     docs, labels, _ = labelled
     turned = labels.withColumn("quality", F.when(quality_classifier.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
