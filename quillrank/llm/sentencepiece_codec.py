@@ -29,8 +29,10 @@ from quillrank.llm.common import small_batches
 from quillrank.sources.corpus import spread
 
 BLANK = "▁"
-#: Code points in one suffix array; cuts that a worker remembers; characters of text taken at a time.
-BLOCK, REMEMBERED, AT_A_TIME = 400_000, 600_000, 5_000_000
+#: Code points in one suffix array; cuts that a worker remembers, and their characters; characters of text taken at a time.
+BLOCK, REMEMBERED, REMEMBERED_CHARS, AT_A_TIME = 400_000, 600_000, 12_000_000, 5_000_000
+#: Cuts that are left at a place, from which on edges are relaxed one by one: an array's overhead is that of some 30 edges.
+FEW = 8
 _CACHE_BITS = 20
 #: A code point that no text has: half of a surrogate pair.
 _SEPARATOR = 0xD800
@@ -59,6 +61,7 @@ class Codec:
         self.rank[order] = np.arange(n)
         self._merges()
         self.remembered: dict[str, bytes] = {}
+        self.remembered_chars = 0
         self.cached_pair, self.cached_fit = np.full(1 << _CACHE_BITS, -1, np.int64), np.zeros(1 << _CACHE_BITS, bool)
 
     def _merges(self) -> None:
@@ -156,15 +159,33 @@ class Codec:
             live = live[~done]
         return ok
 
+    def _fit(self, a: int, b: int) -> bool:
+        """_fits for one pair."""
+        n, left, right, rank, limit = len(self.pieces), self.left.data, self.right.data, self.rank.data, np.iinfo(np.int64).max
+        while True:
+            whole = self.merged_by.get(a * n + b)
+            if whole is not None and 2 * rank[whole] < limit:
+                return False
+            later_a = -1 if left[a] == a else 2 * rank[a] - 1
+            later_b = -1 if left[b] == b else 2 * rank[b] + 1
+            if later_a > later_b:
+                limit, a = later_a, right[a]
+            elif later_b >= 0:
+                limit, b = later_b, left[b]
+            else:
+                return True
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text, as SentencePiece gives them."""
         return self.encode_all([text])[0].tolist()
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         cuts = [cut(t) for t in texts]
-        if len(self.remembered) > REMEMBERED:
+        if len(self.remembered) > REMEMBERED or self.remembered_chars > REMEMBERED_CHARS:
             self.remembered.clear()
+            self.remembered_chars = 0
         new = list(set(chain.from_iterable(cuts)).difference(self.remembered))
+        self.remembered_chars += sum(map(len, new))
         at = 0
         while at < len(new):
             block, size = at, 0
@@ -203,10 +224,13 @@ class Codec:
         bounds = np.searchsorted(where[order], np.arange(1, int(sizes.max()) + 2))
         last = np.full(len(text) + 1, -1, np.int64)  # the piece that ends before a position; -1: none
         came = np.zeros(len(text) + 1, np.int64)
-        for k in range(len(bounds) - 1):
+        many = int(np.sort(sizes)[-FEW - 1]) if len(sizes) > FEW else 0  # places up to here are in more than FEW cuts
+        for k in range(many):
             s, t, p = (x[bounds[k] : bounds[k + 1]] for x in (start, stop, piece))
             good = self.fits(np.where(offset[s] == 0, -1, last[s]), p)
             last[t[good]], came[t[good]] = p[good], s[good]
+        rest = slice(bounds[many], None)
+        self._relax_singly(start[rest], stop[rest], piece[rest], offset[start[rest]] == 0, last, came)
         on_path, at = np.zeros(len(text) + 1, bool), begin + sizes
         while len(at):  # all cuts at once, from their ends back
             on_path[at] = True
@@ -221,6 +245,23 @@ class Codec:
             out[i] = self._spelled(ids[first[i] : ends[i]].tolist())
         return out
 
+    def _relax_singly(self, start: np.ndarray, stop: np.ndarray, piece: np.ndarray, first: np.ndarray, last: np.ndarray, came: np.ndarray) -> None:
+        """The same relaxation edge by edge, by increasing stop within a cut, with the same cache of fits."""
+        n, mask = len(self.pieces), (1 << _CACHE_BITS) - 1
+        last, came, pair, fit = last.data, came.data, self.cached_pair.data, self.cached_fit.data
+        for at in range(0, len(start), BLOCK):
+            block = slice(at, at + BLOCK)
+            for s, t, p, none in zip(*(x[block].tolist() for x in (start, stop, piece, first)), strict=True):
+                before = -1 if none else last[s]
+                if before >= 0 and p >= 0:
+                    key = before * n + p
+                    slot = (key * 0x9E3779B1 >> 7) & mask
+                    if pair[slot] != key:
+                        pair[slot], fit[slot] = key, self._fit(before, p)
+                    if not fit[slot]:
+                        continue
+                last[t], came[t] = p, s
+
     def _edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All occurrences of all pieces, as (start, stop, piece); characters outside the vocabulary are -1 - code point."""
         order = suffix_array(text, self.longest)

@@ -139,6 +139,35 @@ def test_codec_equals_the_library(both):
         assert own.decode(own.encode(text)) == library.decode(library.encode(text))
 
 
+def test_long_cuts_equal_the_library(both, monkeypatch):
+    own, library = both
+    rng = random.Random(5)
+    letters = "etaoinshrdlu"
+    texts = ["".join(rng.choices(letters, k=20_000)), "日本語の文章" * 3000, "ab☃" * 4000, "x" * 20_001]
+    expected = library.encode(texts)
+    assert [x.tolist() for x in own.encode_all(texts)] == expected
+    for few in (0, 2, 1000):  # edge by edge or by arrays, whatever the cuts' number
+        monkeypatch.setattr(sentencepiece_codec, "FEW", few)
+        own.remembered.clear()
+        short = [t[:300] for t in texts] + [prose(rng, 200)]
+        assert [x.tolist() for x in own.encode_all(short)] == library.encode(short)
+
+
+def test_fit_of_one_pair_equals_fits(both):
+    own, _ = both
+    rng = np.random.default_rng(4)
+    a, b = rng.choice(own.reachable, (2, 5000))
+    assert own._fits(a, b).tolist() == [own._fit(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+def test_what_is_remembered_is_bounded(both, monkeypatch):
+    own, _ = both
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED_CHARS", 1000)
+    for i in range(5):
+        own.encode_all([f"{i}" * 900])
+        assert sum(map(len, own.remembered)) <= 1000 + 901
+
+
 def test_suffix_array():
     rng = np.random.default_rng(1)
     for letters in (2, 300):
