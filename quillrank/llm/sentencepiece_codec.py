@@ -25,12 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import small_batches
+from quillrank.llm.common import give_back, small_batches
 from quillrank.sources.corpus import spread
 
 BLANK = "▁"
 #: Code points in one suffix array; cuts that a worker remembers, and their characters; characters of text taken at a time.
-BLOCK, REMEMBERED, REMEMBERED_CHARS, AT_A_TIME = 400_000, 600_000, 12_000_000, 5_000_000
+BLOCK, REMEMBERED, REMEMBERED_CHARS, AT_A_TIME = 400_000, 300_000, 6_000_000, 2_000_000
 #: Cuts that are left at a place, from which on edges are relaxed one by one: an array's overhead is that of some 30 edges.
 FEW = 8
 _CACHE_BITS = 20
@@ -379,6 +379,8 @@ def encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id
                     ids, texts, size = [], [], 0
         if ids:
             yield done()
+        ids, texts = [], []
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = spread(rows).mapInPandas(coded, "doc_id string, n_ids long, ids array<int>, decoded_sha256 string")
