@@ -45,11 +45,11 @@ MANY = 64
 #: Bytes that are hashed at a time, and bytes of a batch.
 CHUNK, BATCH = 1_000_000, 8_000_000
 #: Bytes of stretches that one suffix array is made of, and, about, in a range of the second step. A range's levels take
-#: seven times its bytes.
+#: ten times its bytes.
 ARRAY, RANGE = 400_000, 8_000_000
 #: Bytes of text whose anchors a range of the first step holds, about.
 ANCHOR_RANGE = 64_000_000
-#: Windows of a level that are compared at a time.
+#: Windows that are compared with a level at a time.
 BLOCK = 100_000
 _LOW = np.uint64((1 << 24) - 1)  # place of an anchor within a chunk
 _RNG = np.random.default_rng(3)
@@ -181,6 +181,18 @@ def _equal(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) ->
     return ok
 
 
+#: Places of the words of eight bytes that cover a window, the first one aside.
+_WORDS = (*range(8, WINDOW - 8, 8), WINDOW - 8)
+
+
+def _same_windows(text: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which windows at `a` of text equal those at `b` of other, byte by byte. From the end: windows near in order differ late."""
+    words, others, at = _words_at(text), _words_at(other), np.arange(len(a))
+    for place in (*reversed(_WORDS), 0):
+        at = at[words[a[at] + place] == others[b[at] + place]]
+    return at
+
+
 def _anchored(shards: int):
     """Map side of the first step."""
 
@@ -430,26 +442,23 @@ def _in_order(windows: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Level:
-    """A suffix array: positions in a text of different windows, sorted, each with the earliest place it starts at."""
+    """A suffix array: positions in a text of different windows, sorted, each with the earliest place it starts at, and its first word."""
 
     text: np.ndarray
     at: np.ndarray
     doc: np.ndarray
     start: np.ndarray
+    first: np.ndarray
 
     def __len__(self) -> int:
         return len(self.at)
 
-    def keys(self, a: int, b: int) -> np.ndarray:
-        """The windows from the a-th to the b-th, for comparisons."""
-        windows = np.lib.stride_tricks.sliding_window_view(self.text, WINDOW)
-        return np.ascontiguousarray(windows[self.at[a:b]]).view(f"S{WINDOW}").ravel()
-
-    def key(self, i: int) -> bytes:
-        return self.keys(i, i + 1)[0]
+    def words(self, which: slice | np.ndarray, place: int) -> np.ndarray:
+        """Eight bytes of each window, as numbers in the order of the bytes."""
+        return _words_at(self.text)[self.at[which] + place].byteswap()
 
     def taken(self, which: np.ndarray) -> Level:
-        return Level(self.text, self.at[which], self.doc[which], self.start[which])
+        return Level(self.text, self.at[which], self.doc[which], self.start[which], self.first[which])
 
     def before(self, key: bytes) -> int:
         """How many windows come before key."""
@@ -460,6 +469,37 @@ class Level:
         return low
 
 
+def _bound(level: Level, place: int, low: np.ndarray, high: np.ndarray, want: np.ndarray, over: bool) -> np.ndarray:
+    """Binary search in many ranges of a level at once, by the word at `place`: the first window not below (over: above) want."""
+    low, high, open_ = low.copy(), high.copy(), np.flatnonzero(low < high)
+    while len(open_):
+        mid = (low[open_] + high[open_]) >> 1
+        seen = level.words(mid, place)
+        less = seen <= want[open_] if over else seen < want[open_]
+        low[open_] = np.where(less, mid + 1, low[open_])
+        high[open_] = np.where(less, high[open_], mid)
+        open_ = open_[low[open_] < high[open_]]
+    return low
+
+
+def _places(level: Level, new: Level, a: int, b: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the windows a to b of new: the range of a level's windows with the same first words, narrowed until it holds `least` at most.
+
+    A range that got empty lies where the window belongs.
+    """
+    mine = new.first[a:b]
+    low = np.searchsorted(level.first, mine)
+    live = np.flatnonzero(level.first[np.minimum(low, len(level) - 1)] == mine)
+    high = low.copy()
+    high[live] = np.searchsorted(level.first, mine[live], "right")
+    for place in _WORDS:
+        live = live[high[live] - low[live] > least]
+        want = new.words(a + live, place)
+        low[live] = _bound(level, place, low[live], high[live], want, False)
+        high[live] = _bound(level, place, low[live], high[live], want, True)
+    return low, high
+
+
 def suffix_array(text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Positions of the windows of stretches that lie in a text one after the other, sorted."""
     last = np.cumsum(sizes)
@@ -486,8 +526,9 @@ class SuffixFamily:
         text = np.frombuffer(body, np.uint8)
         at = suffix_array(text, sizes)
         begin = np.cumsum(sizes) - sizes
-        own = np.searchsorted(begin, at, "right") - 1
-        new = self._distinct(Level(text, at, docs[own], starts[own] + at - begin[own]))
+        own = np.repeat(np.arange(len(sizes)), sizes)[at]
+        first = _words_at(text)[at].byteswap() if len(at) else np.zeros(0, np.uint64)
+        new = self._distinct(Level(text, at, docs[own], starts[own] + at - begin[own], first))
         for level in self.levels:
             new = self._scan(level, new)
         if len(new):
@@ -498,54 +539,46 @@ class SuffixFamily:
 
     def _distinct(self, new: Level) -> Level:
         same = np.zeros(len(new), bool)
-        for a in range(0, len(new), BLOCK):
-            keys = new.keys(max(0, a - 1), a + BLOCK)
-            same[max(1, a) : a + BLOCK] = keys[1:] == keys[:-1]
+        for a in range(1, len(new), BLOCK):
+            b = min(len(new), a + BLOCK)
+            same[a + _same_windows(new.text, new.at[a:b], new.text, new.at[a - 1 : b - 1])] = True
         if not same.any():
             return new
-        order = np.lexsort((new.start, new.doc, np.cumsum(~same)))
+        tied = np.flatnonzero(same | np.append(same[1:], False))
+        order = np.arange(len(new))
+        order[tied] = tied[np.lexsort((new.start[tied], new.doc[tied], np.cumsum(~same[tied])))]
         new = new.taken(order)
         self._gone(_later(same, new.doc, new.start), new.doc, new.start)
         return new.taken(np.flatnonzero(~same))
 
     def _scan(self, level: Level, new: Level) -> Level:
-        """Merge-scan: both in their order, a block of the level at a time. Returns what of the batch the level lacks."""
-        rest, done = np.ones(len(new), bool), 0
-        for a in range(0, len(level), BLOCK):
-            if done == len(new):
-                break
-            keys = level.keys(a, a + BLOCK)
-            upto = len(new) if a + BLOCK >= len(level) else new.before(level.key(a + BLOCK))
-            for b in range(done, upto, BLOCK):
-                mine = new.keys(b, min(upto, b + BLOCK))
-                at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-                match = np.flatnonzero(keys[at] == mine)
-                here, there = b + match, a + at[match]
-                doc, start, ldoc, lstart = new.doc[here], new.start[here], level.doc[there], level.start[there]
-                sooner = (doc < ldoc) | ((doc == ldoc) & (start < lstart))
-                equal = (doc == ldoc) & (start == lstart)
-                self._gone(~sooner & ~equal, doc, start)
-                self._gone(sooner, ldoc, lstart)
-                level.doc[there[sooner]], level.start[there[sooner]] = doc[sooner], start[sooner]
-                rest[here] = False
-            done = upto
+        """Merge-scan: both are in their order. Returns what of the batch the level lacks."""
+        rest = np.ones(len(new), bool)
+        for a in range(0, len(new), BLOCK):
+            low, high = _places(level, new, a, a + BLOCK, 1)
+            one = np.flatnonzero(low < high)
+            here, there = a + one, low[one]
+            same = _same_windows(new.text, new.at[here], level.text, level.at[there])
+            here, there = here[same], there[same]
+            doc, start, ldoc, lstart = new.doc[here], new.start[here], level.doc[there], level.start[there]
+            sooner = (doc < ldoc) | ((doc == ldoc) & (start < lstart))
+            equal = (doc == ldoc) & (start == lstart)
+            self._gone(~sooner & ~equal, doc, start)
+            self._gone(sooner, ldoc, lstart)
+            level.doc[there[sooner]], level.start[there[sooner]] = doc[sooner], start[sooner]
+            rest[here] = False
         return new if rest.all() else new.taken(np.flatnonzero(rest))
 
     def _merge(self) -> None:
         b, a = self.levels.pop(), self.levels.pop()
-        place, done = np.empty(len(b), np.int64), 0  # how many of a come before each of b
-        for at in range(0, len(a), BLOCK):
-            upto = len(b) if at + BLOCK >= len(a) else b.before(a.key(at + BLOCK))
-            keys = a.keys(at, at + BLOCK)
-            for i in range(done, upto, BLOCK):
-                j = min(upto, i + BLOCK)
-                place[i:j] = at + np.searchsorted(keys, b.keys(i, j))
-            done = upto
+        place = np.empty(len(b), np.int64)  # how many of a come before each of b
+        for at in range(0, len(b), BLOCK):
+            place[at : at + BLOCK] = _places(a, b, at, at + BLOCK, 0)[0]
         place += np.arange(len(b))
         from_a = np.ones(len(a) + len(b), bool)
         from_a[place] = False
         out = []
-        for x, y in ((a.at, b.at + np.int32(len(a.text))), (a.doc, b.doc), (a.start, b.start)):
+        for x, y in ((a.at, b.at + np.int32(len(a.text))), (a.doc, b.doc), (a.start, b.start), (a.first, b.first)):
             both = np.empty(len(from_a), x.dtype)
             both[from_a], both[place] = x, y
             out.append(both)
